@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexaloc.llm import chat, quality, sharding, similarity
+from hexaloc.llm import chat, mixing, quality, sharding, similarity
 from hexaloc.llm._shared import table
 
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def domain_of_source():
+    """The documents have no domain; sources are put into four by their numbers."""
+    number = F.coalesce(F.try_to_number(F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0))
+    return F.element_at(F.array(*map(F.lit, ("web", "books", "news", "forums"))), F.pmod(number, F.lit(4)) + 1)
+
+
+#: Target weights of the domains; languages and sources share by the square root of their tokens.
+MIX = mixing.Mix(weights={("web",): 5.0, ("books",): 2.0, ("news",): 2.0, ("forums",): 1.0})
+
+
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(table(spark, sf_dir, "documents"), domain_of_source(), MIX)
+    return rows.select(F.col("key").alias("doc_id"), "domain", "lang", "source", F.col("tokens").alias("n_tokens"), "leaf_tokens", F.round("budget").cast("long").alias("leaf_budget"), "copies")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.components(table(spark, sf_dir, "documents"))
 
@@ -86,4 +101,4 @@ SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.a = documents.doc_id GROUP BY documents.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op8_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op5_mixing_sources, op8_ngram_jaccard_join, op10_quality_rules)}
