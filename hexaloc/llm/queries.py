@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexaloc.llm import chat, mixing, quality, sharding, similarity
+from hexaloc.llm import chat, mixing, pieces, quality, sharding, similarity
 from hexaloc.llm._shared import table
 
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pieces.encoded(docs, pieces.Vocabulary.load(pieces.default_path()))
+    return rows.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -101,4 +107,4 @@ SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.a = documents.doc_id GROUP BY documents.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op5_mixing_sources, op8_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op5_mixing_sources, op8_ngram_jaccard_join, op9_sentencepiece, op10_quality_rules)}
