@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexaloc.llm import chat, mixing, pieces, quality, sharding, similarity
+from hexaloc.llm import chat, language, mixing, pieces, pii, quality, sharding, similarity
 from hexaloc.llm._shared import table
 
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,12 @@ FROM x GROUP BY conv_id
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.third(F.col("doc_id")) == 1)
+    model = language.learned(language.sampled(docs.where("not held_out")))
+    return language.identified(docs, model, ("doc_id", "held_out"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -87,6 +93,11 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "domain", "lang", "source", F.col("tokens").alias("n_tokens"), "leaf_tokens", F.round("budget").cast("long").alias("leaf_budget"), "copies")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.spans(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("key").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.components(table(spark, sf_dir, "documents"))
 
@@ -107,4 +118,4 @@ SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.a = documents.doc_id GROUP BY documents.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op5_mixing_sources, op8_ngram_jaccard_join, op9_sentencepiece, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op4_sharding, op5_mixing_sources, op6_pii, op8_ngram_jaccard_join, op9_sentencepiece, op10_quality_rules)}
