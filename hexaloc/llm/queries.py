@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexaloc.llm import chat, language, mixing, pieces, pii, quality, sharding, similarity
+from hexaloc.llm import chat, language, media, mixing, pieces, pii, quality, sharding, similarity
 from hexaloc.llm._shared import table
 
 ORACLES: dict[str, str] = {}
@@ -98,6 +98,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.stored(table(spark, sf_dir, "documents"))
+    return media.read_back(files, tensors=False).withColumnRenamed("key", "doc_id")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.components(table(spark, sf_dir, "documents"))
 
@@ -118,4 +123,4 @@ SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.a = documents.doc_id GROUP BY documents.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op4_sharding, op5_mixing_sources, op6_pii, op8_ngram_jaccard_join, op9_sentencepiece, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op4_sharding, op5_mixing_sources, op6_pii, op7_media_columns, op8_ngram_jaccard_join, op9_sentencepiece, op10_quality_rules)}
