@@ -81,15 +81,17 @@ def _packed(code: np.ndarray, size: np.ndarray, interval: np.ndarray, n: int) ->
     bits = np.bincount(interval, size, n).astype(np.int64)
     octets = bits + 7 >> 3
     first = np.cumsum(octets) - octets
-    ends = np.cumsum(size)
-    start = ends - size
-    shift = first * 8 - (np.cumsum(bits) - bits)
-    token = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    place = np.arange(len(token))
-    bit = code[token] >> (ends[token] - 1 - place) & 1
-    out = np.ones(int(octets.sum()) * 8, np.uint8)
-    out[place + shift[interval][token]] = bit
-    data = np.packbits(out)
+    start = np.cumsum(size) - size + (first * 8 - (np.cumsum(bits) - bits))[interval]
+    # up to 20 bits of a token reach into four bytes; no two tokens share a bit, so bytes are sums
+    octet, word = start >> 3, code << 32 - (start & 7) - size
+    total = int(octets.sum())
+    data = np.zeros(total + 4)
+    for i in range(4):
+        part = word >> 24 - 8 * i & 255
+        used = part > 0 if i else slice(None)
+        data += np.bincount(octet[used] + i, part[used], total + 4)
+    data = data[:total].astype(np.uint8)
+    data[first + octets - 1] |= ((1 << (-bits & 7)) - 1).astype(np.uint8)
     ff = np.flatnonzero(data == 255)
     starts = first + np.searchsorted(ff, first)
     whole = np.insert(data, ff + 1, 0).tobytes()
@@ -311,20 +313,32 @@ def decode(files: list[bytes]) -> list[tuple[int, int, np.ndarray, bytes]]:
         bases.append(base)
         order = [np.concatenate(o) for o in orders]
         flat = np.zeros(base * 64, np.int32)
-        for k, (comps, lo, hi, high, low, step, dc, ac) in enumerate(script):
-            units = [p["mw"] * p["mh"] * (6 if len(comps) > 1 else 4 if comps == (0,) else 1) for p in group]
+        at = 0
+        while at < len(script):
+            comps, lo, hi, high, low, step, dc, ac = script[at]
+            # scans of other components with the same band and bits are read along with this one
+            upto = at + 1
+            while len(comps) == 1 and upto < len(script) and script[upto][1:] == script[at][1:] and script[upto][0] not in [x[0] for x in script[at:upto]]:
+                upto += 1
+            units, parts = [], []
+            for k in range(at, upto):
+                own = script[k][0]
+                units += [p["mw"] * p["mh"] * (6 if len(own) > 1 else 4 if own == (0,) else 1) for p in group]
+                parts += [x for p in group for x in p["scans"][k][1]]
             step *= 6 if len(comps) > 1 else 1
-            lanes = _Lanes([x for p in group for x in p["scans"][k][1]])
-            starts = np.concatenate([np.arange(0, u, step) + a for u, a in zip(units, np.cumsum(units) - units)])
-            ends = np.concatenate([np.minimum(np.arange(0, u, step) + step, u) + a for u, a in zip(units, np.cumsum(units) - units)])
+            lanes, first = _Lanes(parts), np.cumsum(units) - units
+            starts = np.concatenate([np.arange(0, u, step) + a for u, a in zip(units, first)])
+            ends = np.minimum(starts + step, np.repeat(first + units, [-(-u // step) for u in units]))
+            places = np.concatenate([order[script[k][0][0]] for k in range(at, upto)])
             if len(comps) > 1:
                 if comps != (0, 1, 2):
                     raise ValueError("a scan of some components only")
                 _read_dc(lanes, flat, starts, ends, high, low, dc)
             elif high:
-                _read_refinement(lanes, flat, order[comps[0]], starts, ends, lo, hi, low, ac)
+                _read_refinement(lanes, flat, places, starts, ends, lo, hi, low, ac)
             else:
-                _read_first(lanes, flat, order[comps[0]], starts, ends, lo, hi, low, ac)
+                _read_first(lanes, flat, places, starts, ends, lo, hi, low, ac)
+            at = upto
         blocks = flat.reshape(-1, 64)
         for i, p, a, b in zip(members, group, bases, bases[1:]):
             out[i] = (p["mw"], p["mh"], blocks[a:b], p["comment"])
