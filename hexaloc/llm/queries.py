@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexaloc.llm import chat, language, media, mixing, pieces, pii, quality, sharding, similarity
+from hexaloc.llm import chat, extraction, language, media, mixing, pieces, pii, quality, sharding, similarity
 from hexaloc.llm._shared import table
 
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(docs, model, ("doc_id", "held_out"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extraction.extracted(table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -123,4 +128,4 @@ SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.a = documents.doc_id GROUP BY documents.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op4_sharding, op5_mixing_sources, op6_pii, op7_media_columns, op8_ngram_jaccard_join, op9_sentencepiece, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_html_extraction, op4_sharding, op5_mixing_sources, op6_pii, op7_media_columns, op8_ngram_jaccard_join, op9_sentencepiece, op10_quality_rules)}
