@@ -218,9 +218,10 @@ def masked(docs: DataFrame, how: Bootstrap = Bootstrap(), key: str = "doc_id", t
     so only documents with spans learned from contexts meet a join."""
     learned = spans(docs, how, key, text).select("key", F.filter("found", lambda x: x["kind"] == 4).alias("__new")).where(F.size("__new") > 0)
     learned = materialize(learned.groupBy("key").agg(F.max("__new").alias("__new")), "pii-learned")
-    ids = learned.select(F.col("key").alias(key))
+    learned = learned.withColumnRenamed("key", "__key")
+    ids = learned.select(F.col("__key").alias(key))
     with_new = filter_by_ids(docs, key, ids, keep=True)
-    with_new = with_new.join(learned, with_new[key] == learned["key"]).drop("key")
+    with_new = with_new.join(learned, with_new[key] == learned["__key"]).drop("__key")
     none = F.lit(None).cast("array<struct<start:int,kind:int,end:int>>").alias("__new")
     rest = filter_by_ids(docs, key, ids, keep=False).select("*", none)
     both = rest.unionByName(with_new)
