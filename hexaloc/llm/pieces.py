@@ -20,18 +20,19 @@ have equal pieces; repeated rows stay; other columns are not read.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
 MASK = (1 << 64) - 1
 #: Stands for no merge; above the order and id of any piece.
-NEVER = 1 << 63
+NEVER = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -60,18 +61,19 @@ class Vocabulary:
         return Vocabulary(pieces, orders, next(i for i in range(len(pieces)) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))))
 
 
-def cutter(pieces: tuple[str, ...]) -> re.Pattern:
-    """A pattern whose matches, one after another, are parts that no merge crosses.
-
-    Cuts lie before space marks, and between a plain character (a letter, a digit, any that
-    isn't an ASCII mark) and an ASCII mark that follows a plain one in no piece."""
-    if any(MARK in p.lstrip(MARK) for p in pieces):
-        raise ValueError("a piece holds a space mark after another character")
-    marks = {chr(c) for c in range(128) if not chr(c).isalnum()}
-    joined = {b for p in pieces for a, b in zip(p, p[1:]) if a not in marks and a != MARK}
-    plain = f"[^{MARK}{''.join(map(re.escape, sorted(marks)))}]"
-    end = rf"[{MARK}{''.join(map(re.escape, sorted(marks - joined)))}]|\Z"
-    return re.compile(rf"{MARK}*{plain}++(?={end})|{MARK}*[^{MARK}]+?(?={MARK}|\Z|(?<={plain})(?:{end}))|{MARK}+")
+def pairs_in(pieces: tuple[str, ...], width: int = 0x2600) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character below width that a piece holds (0: none does, 1: other
+    characters), and whether a piece holds two characters, by their numbers, side by side."""
+    chars = sorted({c for p in pieces for c in p if ord(c) < width})
+    number = np.zeros(width + 1, np.int32)
+    number[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
+    number[width] = 1
+    joined = np.zeros((len(chars) + 2, len(chars) + 2), bool)
+    for p in pieces:
+        n = [number[min(ord(c), width)] for c in p]
+        joined[n[:-1], n[1:]] = True
+    joined[1, 1:] = joined[1:, 1] = True
+    return number, joined
 
 
 class Codec:
@@ -85,48 +87,133 @@ class Codec:
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
                     self.made[a << 20 | b] = orders[i] << 20 | i
-        self.parts = cutter(pieces[first:]).findall
+        self.keys = np.array(sorted(self.made), np.int64)
+        self.values = np.array([self.made[k] for k in sorted(self.made)], np.int64)
+        self.number, self.joined = pairs_in(pieces[first:])
         at = pieces.index("<0x00>")
         self.byte_ids = list(range(at, at + 256))
         self.bytes_of = [p.replace(MARK, " ").encode() if i >= first else b"" for i, p in enumerate(pieces)]
         for b in range(256):
             self.bytes_of[at + b] = bytes([b])
         self.dropout, self.limit = dropout, int(dropout.odds * (1 << 32))
-        self.new: dict[tuple[str, int], list[int]] = {}
-        self.old: dict[tuple[str, int], list[int]] = {}
+        self.own = [self.byte_ids[b] for b in MARK.encode()]
+        variants = dropout.variants if self.limit else 1
+        # the pieces of parts, by variant; two generations, the older one to look up only
+        self.new: list[dict[str, list[int]]] = [{"": self.own} for _ in range(variants)]
+        self.old: list[dict[str, list[int]]] = [{} for _ in range(variants)]
         self.cache = cache
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        """The pieces of each text. Parts that aren't known yet are merged together."""
         variants = self.dropout.variants if self.limit else 1
-        key = zlib.crc32(text.encode(), self.dropout.seed) if variants > 1 else 0
-        if MARK not in text:
-            return self._run(" " + text, key, variants)
-        own = [self.byte_ids[b] for b in MARK.encode()]  # the text's own space marks become bytes
-        out: list[int] = []
-        for i, run in enumerate(text.split(MARK)):
-            out += own if i else []
-            out += self._run(run if i else " " + run, key + i, variants)
+        new, cut = self.new, []
+        for text in texts:
+            key = zlib.crc32(text.encode(), self.dropout.seed)
+            parts: list[str] = []
+            for i, run in enumerate(text.split(MARK)):
+                if i:
+                    parts.append("")  # stands for a space mark of the text's own
+                elif text:
+                    run = " " + run
+                if run:
+                    parts += self.parts(run.replace(" ", MARK))
+            places = np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(key)
+            chosen = (places >> np.uint64(7)) % np.uint64(variants)
+            cut.append((parts, chosen.tolist()))
+        lacking = {k for parts, chosen in cut for k in zip(parts, chosen) if k[0] not in new[k[1]]}
+        self._fill([k for k in lacking if not self._known(*k)])
+        out = [list(chain.from_iterable([new[v][p] for p, v in zip(parts, chosen)])) for parts, chosen in cut]
+        if sum(map(len, new)) >= self.cache:
+            self.old = new
+            self.new = [{"": self.own} for _ in range(variants)]
         return out
 
-    def _run(self, text: str, key: int, variants: int) -> list[int]:
-        out: list[int] = []
-        marked = text.replace(" ", MARK)
-        new, old = self.new, self.old
-        for n, part in enumerate(self.parts(marked)):
-            v = ((key + n) * 0x9E3779B1 >> 13 & 0xFFFF) % variants
-            known = new.get((part, v))
-            if known is None:
-                known = old.get((part, v))
-                if known is None:
-                    known = self.merge(part, v)
-                if len(part) < 100:
-                    if len(new) >= self.cache:
-                        self.old, self.new = old, new = new, {}
-                    new[part, v] = known
-            out += known
-        return out
+    def _known(self, part: str, variant: int) -> bool:
+        """Whether the older generation knows a part; if so, the newer gets it."""
+        known = self.old[variant].get(part)
+        if known is not None:
+            self.new[variant][part] = known
+        return known is not None
+
+    def _fill(self, keys: list[tuple[str, int]]) -> None:
+        """Merge the parts; those of a like length together in numpy, odd ones by themselves."""
+        by_width: dict[int, list[tuple[str, int]]] = {}
+        ids = self.ids
+        for k in keys:
+            part = k[0]
+            n = len(part)
+            if n == 1 or n > 32 or part[1] == MARK or not all(c in ids for c in part):
+                self.new[k[1]][part] = self.merge(*k)
+            else:
+                by_width.setdefault(4 if n <= 4 else 8 if n <= 8 else 12 if n <= 12 else 20 if n <= 20 else 32, []).append(k)
+        for width, group in by_width.items():
+            for at in range(0, len(group), 20_000):
+                self._merge_many(group[at : at + 20_000], width)
+
+    def _merge_many(self, keys: list[tuple[str, int]], width: int) -> None:
+        """merge() for many parts at once: in each step every part takes up its best candidate."""
+        ids, n = self.ids, len(keys)
+        syms = np.full((n, width + 1), -1, np.int64)
+        for row, (part, _) in enumerate(keys):
+            syms[row, : len(part)] = [ids[c] for c in part]
+        salt = np.array([self._salt(*k) for k in keys], np.uint64)
+        right = np.tile(np.arange(1, width + 2), (n, 1))
+        left = right - 2
+        agenda = self._lookup(syms[:, :-1], syms[:, 1:])
+        rows = np.arange(n)
+        while len(rows):
+            i = agenda[rows].argmin(1)
+            m = agenda[rows, i]
+            live = m != NEVER
+            rows, i, m = rows[live], i[live], m[live]
+            if self.limit:
+                x = salt[rows] ^ ((m >> 20 << 32 | i) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                drop = ((x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) < self.limit
+                agenda[rows[drop], i[drop]] = NEVER
+                r, i, m = rows[~drop], i[~drop], m[~drop]
+            else:
+                r = rows
+            made = m & 0xFFFFF
+            j = right[r, i]
+            k = right[r, j]
+            h = left[r, i]
+            syms[r, i] = made
+            syms[r, j] = -2
+            right[r, i] = k
+            left[r, np.minimum(k, width)] = i
+            inner = j < width
+            agenda[r[inner], j[inner]] = NEVER
+            agenda[r, i] = self._lookup(made, syms[r, np.minimum(k, width)])
+            some = h >= 0
+            r, h, made = r[some], h[some], made[some]
+            agenda[r, h] = self._lookup(syms[r, h], made)
+        kept = syms >= 0
+        flat = syms[kept].tolist()
+        ends = np.cumsum(kept.sum(1)).tolist()
+        at = 0
+        for k, end in zip(keys, ends):
+            self.new[k[1]][k[0]] = flat[at:end]
+            at = end
+
+    def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Order and id of what two pieces make, or NEVER."""
+        key = a << 20 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.values[at], NEVER)
+
+    def _salt(self, part: str, variant: int) -> int:
+        return zlib.crc32(part.encode(), self.dropout.seed * 1000 + variant) * 0xC2B2AE3D27D4EB4F & MASK
+
+    def parts(self, marked: str) -> list[str]:
+        """The text cut wherever no piece holds the two characters side by side."""
+        code = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = self.number[np.minimum(code, len(self.number) - 1)]
+        cuts = np.flatnonzero(~self.joined[n[:-1], n[1:]]) + 1
+        at = [0, *cuts.tolist()]
+        return [marked[a:b] for a, b in zip(at, [*at[1:], len(marked)])]
 
     def merge(self, part: str, variant: int) -> list[int]:
         """The pieces of a part, by its agenda: order, then place, of each candidate merge."""
@@ -136,9 +223,7 @@ class Codec:
         if n == 1:
             return [syms[0]] if syms[0] >= 0 else [self.byte_ids[b] for b in part.encode()]
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        salt = zlib.crc32(part.encode(), self.dropout.seed * 1000 + variant) * 0xC2B2AE3D27D4EB4F if limit else 0
-        if n <= 48 and part[1] != MARK:
-            return self._spelled(self._short(syms, salt), part)
+        salt = self._salt(part, variant)
         agenda = []
         a = syms[0]
         for i in range(n - 1):
@@ -170,27 +255,6 @@ class Codec:
                 push(agenda, (m >> 20) << 32 | h)
         return self._spelled(syms, part)
 
-    def _short(self, syms: list[int], salt: int) -> list[int]:
-        """The same for a short part, whose agenda is a list in the order of places.
-
-        Missing pieces stay -1 and merge with nothing."""
-        made, limit = self.made.get, self.limit
-        agenda = [made(a << 20 | b, NEVER) for a, b in zip(syms, syms[1:])]
-        while agenda and (m := min(agenda)) != NEVER:
-            i = agenda.index(m)
-            if limit:
-                x = (salt ^ (m + i + 1) * 0x9E3779B97F4A7C15) & MASK
-                if (x ^ x >> 31) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF < limit:
-                    agenda[i] = NEVER
-                    continue
-            c = syms[i] = m & 0xFFFFF
-            del syms[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = made(c << 20 | syms[i + 1], NEVER)
-            if i:
-                agenda[i - 1] = made(syms[i - 1] << 20 | c, NEVER)
-        return syms
-
     def _spelled(self, syms: list[int], part: str) -> list[int]:
         """syms without merged places, with bytes for the characters without a piece."""
         if min(syms) >= 0:
@@ -222,7 +286,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, dropout: Dropout = Dropout(
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
+                ids = codec.encode_many([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())], ["key", "ids", "decoded"]
                 )
