@@ -10,8 +10,9 @@ reaches the threshold. ``components`` gives each document the smallest id that l
    the shuffle or was put aside makes the buckets.
 3. Buckets are solved by stars: pairs of a leader and each other class, tested exactly.
    The leader is the smallest class first, then the one with the most links. Pairs that
-   links have joined already need no test. What is left then, pairs of a bucket in
-   different components, is tested pair by pair.
+   links have joined already need no test. What is left then, classes of a bucket in
+   different components, meets again on its rarest elements (see ``_refined``), and each
+   pair that may link is tested.
 
 Before the exact test, counts of elements by hash cell bound each pair's intersection from
 above; pairs that the bound rules out aren't read. Nothing is capped or sampled.
@@ -177,11 +178,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     labels = connected(links)
     tested = tested.union(again)
 
-    # the rest, pair by pair
-    rest = materialize(_open(buckets, labels), "jaccard-open")
-    left, right = rest.select("sig", F.col("rep").alias("a"), F.col("component").alias("ca")), rest.select("sig", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "sig").where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    found = tester.linked(pairs)
+    rest = materialize(_open(buckets, labels).select("rep", "component").distinct(), "jaccard-open")
+    found = tester.linked(_refined(tester.sets, rest, percent).join(tested, ["a", "b"], "left_anti"))
     if not found.isEmpty():
         labels = connected(links.union(found))
 
@@ -194,6 +192,52 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
 
+#: Sets of a sample that only orders elements, and open classes that are broadcast (16 bytes each).
+SAMPLE_SETS, BROADCAST_OPEN = 2_000, 500_000
+
+
+def _refined(sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in open buckets and different components that may link.
+
+    Each set's elements are put in one order, rare ones first. Sets of sizes m and n that link
+    share t elements or more, so the first m - t + 1 of one and n - t + 1 of the other share one;
+    that holds for any order. How rare an element is comes from a bounded sample of the sets. Of
+    the component that holds an element most often, no two members are put together."""
+    few = rest.limit(BROADCAST_OPEN + 1).count() <= BROADCAST_OPEN
+    own = sets.select("rep", "elements").join(F.broadcast(rest) if few else rest, "rep")
+    sample = own.select("elements").orderBy(F.xxhash64("rep")).limit(SAMPLE_SETS).collect()
+    seen, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(r[0], np.int64) for r in sample)]), return_counts=True)
+    seen, counts = seen[counts > 1], counts[counts > 1]
+    shared = sets.sparkSession.sparkContext.broadcast((seen, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for b in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for rep, elements, component in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                e = np.asarray(elements.values)
+                count = np.zeros(len(e), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, e), len(known) - 1)
+                    count = np.where(known[at] == e, often[at], 0)
+                n = len(e)
+                first = n - -(-percent * n // 100) + 1
+                order = np.lexsort((e, count))[:first]
+                for c, x in zip(cols, (e[order], np.full(first, rep), np.full(first, component), np.full(first, n), np.arange(first))):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in cols], ["token", "rep", "component", "n", "place"])
+
+    tokens = own.select("rep", "elements", "component").mapInArrow(run, "token long, rep long, component long, n long, place long")
+    tokens = materialize(tokens, "jaccard-tokens")
+    main = tokens.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
+    main = main.agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").drop("components")
+    rows = materialize(tokens.join(main, "token"), "jaccard-shared")
+    left, right = (rows.select("token", *(F.col(c).alias(c + x) for c in ("rep", "component", "n", "place", "main"))) for x in "xy")
+    t = f"(({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
+    pairs = left.where("componentx <> mainx").join(right, "token").where(f"componentx <> componenty and placex <= nx - {t} and placey <= ny - {t}")
+    return materialize(pairs.select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b")).distinct(), "jaccard-rest")
+
+
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """sig, rep, component of the buckets that hold more than one component."""
     over = Window.partitionBy("sig")
