@@ -16,6 +16,8 @@ def matched(stream: DataFrame, matcher: Matcher, identifier: str = "id") -> Data
 
 def counted(stream: DataFrame, matcher: Matcher, time: str = "ts", window: str = "1 hour", late: str = "1 hour", identifier: str = "id") -> DataFrame:
     """Rows for each window of time and selector. Rows later than the watermark are left out."""
-    rows = stream.withWatermark(time, late).withColumn("idx", F.explode(matcher.matches(F.col(identifier))))
+    kind = stream.schema[time].dataType
+    rows = stream.withColumn(time, F.col(time).cast("timestamp"))  # watermarks are on instants
+    rows = rows.withWatermark(time, late).withColumn("idx", F.explode(matcher.matches(F.col(identifier))))
     counts = rows.groupBy(F.window(time, window), "idx").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("window.start").alias("window_start"), "idx", "n")
+    return counts.select(F.col("window.start").cast(kind).alias("window_start"), "idx", "n")
