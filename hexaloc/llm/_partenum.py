@@ -7,12 +7,14 @@ holds at most k2 = floor(k / n1) differences, so n2 - k2 of its cells are equal
 sets; each such choice of cells, with the elements in it, is a signature. A set also signs
 in the next band if a partner may be that large. So similar sets share a signature.
 
-Signatures without elements say little, and many sets would share them. At least
+Signatures without elements say little, and many sets would share them; so would those with
+elements that are common in the corpus only. Call both hollow. At least
 spare + 1 = n1 - floor(k / (k2 + 1)) partitions of two similar sets hold no more than k2
-differences. A partition is thin in a set if a choice of its cells can be empty, that is if
-at most k2 cells have elements. With no more than spare thin partitions a set leaves out its
-empty signatures, for a partition remains that isn't thin; with more it signs them as well.
-If both sets have more, they share the empty ones. No pair is lost either way.
+differences. A partition is thin in a set if a choice of its cells can be hollow, that is if
+at most k2 cells have elements that aren't common. With no more than spare thin partitions a
+set leaves out its hollow signatures, for a partition remains that isn't thin; with more it
+signs them as well. If both sets have more, they share the hollow ones. No pair is lost either
+way, and which elements count as common doesn't matter, as long as all sets are told the same.
 """
 
 from __future__ import annotations
@@ -63,14 +65,17 @@ class PartEnum:
         most = size * 100 // self.percent
         return [b for b in self.bands_upto(most) if b.low <= most and b.high >= size]
 
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        """The signatures of a set, sorted and distinct; elements: its distinct hashes."""
+    def signatures(self, elements: np.ndarray, common: np.ndarray = np.zeros(0, U)) -> np.ndarray:
+        """The signatures of a set, sorted and distinct; elements: its distinct hashes;
+        common: hashes that are common in the corpus, sorted."""
         if not len(elements):
             return np.zeros(0, U)
-        weights = mix(elements * STEPS[5])
-        return np.unique(np.concatenate([self._in_band(elements, weights, b) for b in self.bands_of(len(elements))]))
+        weights, rare = mix(elements * STEPS[5]), np.ones(len(elements), bool)
+        if len(common):
+            rare = common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] != elements
+        return np.unique(np.concatenate([self._in_band(elements, weights, rare, b) for b in self.bands_of(len(elements))]))
 
-    def _in_band(self, elements: np.ndarray, weights: np.ndarray, b: Band) -> np.ndarray:
+    def _in_band(self, elements: np.ndarray, weights: np.ndarray, rare: np.ndarray, b: Band) -> np.ndarray:
         cells = b.n1 * b.n2
         where = ((mix(elements + scaled(STEPS[6], b.number + 1)) >> U(32)) * U(cells) >> U(32)).astype(np.int64)
         order = np.argsort(where, kind="stable")
@@ -79,14 +84,14 @@ class PartEnum:
         running = np.zeros(len(elements) + 1, U)
         np.cumsum(weights[order], out=running[1:])
         sums = (running[ends] - running[ends - counts]).reshape(b.n1, b.n2)
-        filled = counts.reshape(b.n1, b.n2) > 0
+        filled = np.bincount(where[rare], minlength=cells).reshape(b.n1, b.n2) > 0
         choices = _choices(b.n2, b.k2)
         signed = sums @ choices if b.k2 else sums
-        empty = ~(filled @ choices.astype(bool)) if b.k2 else ~filled
+        hollow = ~(filled @ choices.astype(bool)) if b.k2 else ~filled
         names = mix(np.arange(signed.size, dtype=U) + scaled(STEPS[7], b.number + 1)).reshape(signed.shape)
         out = mix(signed + names)
         thin = filled.sum(axis=1) <= b.k2
-        return out[~empty] if thin.sum() <= b.spare else out.ravel()
+        return out[~hollow] if thin.sum() <= b.spare else out.ravel()
 
 
 @lru_cache(64)

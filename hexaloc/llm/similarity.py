@@ -37,6 +37,10 @@ from hexaloc.llm._shingles import STEPS, U, mix, sets_of
 
 #: Cells in the counts that bound an intersection.
 CELLS = 64
+#: Documents whose shingles tell which are common, and sets that tell how rare elements are.
+SAMPLE_DOCS, SAMPLE_SETS = 4_000, 12_000
+#: Classes in open buckets that are broadcast (16 bytes each).
+BROADCAST_OPEN = 500_000
 
 
 def _key(elements: np.ndarray) -> tuple[int, int]:
@@ -58,7 +62,19 @@ def _measured(width: int):
     return run
 
 
-def _signed(width: int, method: PartEnum, aside: bool):
+def _common(docs: DataFrame, rows: int, width: int) -> np.ndarray:
+    """Hashes of shingles that three or more distinct sets of a bounded sample share, sorted.
+
+    The sample is some SAMPLE_DOCS rows by a hash of their ids; it changes the signatures but
+    not the result. rows: how many there are."""
+    part = min(1.0, SAMPLE_DOCS / max(1, rows))
+    texts = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(part * (1 << 30))).select("text").toArrow().column(0).combine_chunks()
+    sets = {e.tobytes() for e in sets_of(texts, width)} if len(texts) else set()
+    found, counts = np.unique(np.frombuffer(b"".join(sets), U), return_counts=True)
+    return found[counts > 2]
+
+
+def _signed(width: int, method: PartEnum, common, aside: bool):
     """(sig, id, lead): each signature's first document of the batch (lead null), or the others with it (aside)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +84,7 @@ def _signed(width: int, method: PartEnum, aside: bool):
                 key = _key(elements)
                 if doc is not None and len(elements) and key not in seen:
                     seen.add(key)
-                    sigs.append(method.signatures(elements))
+                    sigs.append(method.signatures(elements, common.value))
                     ids.append(doc)
             if not sigs:
                 continue
@@ -156,10 +172,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     members = materialize(measured.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "jaccard-members")
     class_of = members.where("rep is not null and doc_id is not null").select("doc_id", "rep").distinct()
 
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, members.count(), width))
     schema = "sig long, id long, lead long"
     over = Window.partitionBy("sig")
-    met = docs.mapInArrow(_signed(width, method, aside=False), schema).select("sig", "id", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi"))
-    aside = docs.mapInArrow(_signed(width, method, aside=True), schema)
+    met = docs.mapInArrow(_signed(width, method, common, aside=False), schema).select("sig", "id", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi"))
+    aside = docs.mapInArrow(_signed(width, method, common, aside=True), schema)
     rows = met.where("lo < hi").select("sig", "id").union(aside.select("sig", F.explode(F.array("id", "lead"))))
     rows = rows.join(class_of, F.col("id") == F.col("doc_id")).select("sig", "rep").distinct()
     buckets = materialize(rows.withColumns({"lo": F.min("rep").over(over), "hi": F.max("rep").over(over)}).where("lo < hi").select("sig", "rep", F.col("lo").alias("lead")), "jaccard-buckets")
@@ -192,10 +209,6 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
 
-#: Sets of a sample that only orders elements, and open classes that are broadcast (16 bytes each).
-SAMPLE_SETS, BROADCAST_OPEN = 2_000, 500_000
-
-
 def _refined(sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in open buckets and different components that may link.
 
@@ -203,10 +216,11 @@ def _refined(sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     share t elements or more, so the first m - t + 1 of one and n - t + 1 of the other share one;
     that holds for any order. How rare an element is comes from a bounded sample of the sets. Of
     the component that holds an element most often, no two members are put together."""
-    few = rest.limit(BROADCAST_OPEN + 1).count() <= BROADCAST_OPEN
-    own = sets.select("rep", "elements").join(F.broadcast(rest) if few else rest, "rep")
-    sample = own.select("elements").orderBy(F.xxhash64("rep")).limit(SAMPLE_SETS).collect()
-    seen, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(r[0], np.int64) for r in sample)]), return_counts=True)
+    n = rest.count()
+    own = sets.select("rep", "elements").join(F.broadcast(rest) if n <= BROADCAST_OPEN else rest, "rep")
+    part = min(1.0, SAMPLE_SETS / max(1, n))
+    sample = own.where(F.pmod(F.xxhash64("rep", F.lit(6)), F.lit(1 << 30)) < int(part * (1 << 30))).select("elements").toArrow().column(0)
+    seen, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.flatten()) for c in sample.chunks)]), return_counts=True)
     seen, counts = seen[counts > 1], counts[counts > 1]
     shared = sets.sparkSession.sparkContext.broadcast((seen, counts))
 
