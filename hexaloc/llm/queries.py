@@ -128,4 +128,32 @@ SELECT documents.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.a = documents.doc_id GROUP BY documents.doc_id
 """
 
+ORACLES["op10_quality_rules"] = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM w WHERE len(w) > 8),
+c AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 7], ' ')) AS c FROM g),
+s AS (SELECT doc_id, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM c WHERE c > 1),
+r AS (SELECT doc_id, sum(least(8, coalesce(gap, 8))) AS n FROM s GROUP BY doc_id),
+m AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id)),
+b AS (
+  SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * len(lines) AS failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM f GROUP BY source),
+t AS (
+  SELECT sum(n) AS n, least(greatest(sum(f) / sum(n), 0.5 / (sum(n) + 1)), 1 - 0.5 / (sum(n) + 1)) AS mean,
+    sum(f * f / n) AS squares, sum(f) AS f, count(*) AS hosts FROM h),
+v AS (SELECT *, (squares - f * f / n) / n - hosts * mean * (1 - mean) / n AS between_hosts FROM t),
+k AS (
+  SELECT mean, CASE WHEN between_hosts <= 0 THEN 10000 ELSE least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 10000) END AS k FROM v),
+p AS (SELECT source, f + mean * k AS a, n - f + (1 - mean) * k AS b FROM h, k),
+j AS (SELECT source, a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.6 AS rejected FROM p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
+"""
+
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_html_extraction, op4_sharding, op5_mixing_sources, op6_pii, op7_media_columns, op8_ngram_jaccard_join, op9_sentencepiece, op10_quality_rules)}
