@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexaloc.functions import ids
+from hexaloc.shipping import ship
 
 
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options) -> DataFrame:
     """A table of parquet, orc, json, csv or text files (text: one identifier a line, column value)."""
+    ship(spark)
     reader = spark.read.format(kind).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)
 
