@@ -9,12 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexaloc.shipping import ship
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +38,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     This cuts the lineage, survives lost executors, and keeps columns prunable."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/hexaloc/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
