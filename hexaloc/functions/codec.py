@@ -7,7 +7,7 @@ strict form that raises; ``*_error`` functions give a code instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the format: separator, limits in bytes, error codes.
@@ -49,6 +49,14 @@ def percent_decode(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("%")), F.url_decode(whole)).otherwise(c)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, whatever reads it.
+
+    The optimizer would put the expression itself in each place of a filter that it pushes
+    below; it doesn't push through a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def parts(record: Column) -> Column:
     """The encoded parts of a record, empty ones included."""
     return F.split(record, SEPARATOR, -1)

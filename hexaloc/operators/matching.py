@@ -199,7 +199,7 @@ def match_pairs(rows: DataFrame, selectors: DataFrame, identifier: str = "id", n
     Selectors with a literal scheme meet the rows by a hash join on it, the others by a theta
     join. Rows whose identifier is invalid match nothing."""
     table = compile_table(selectors, number, selector)
-    parsed = rows.withColumn("__p", ids.components(F.col(identifier))).where(ids.id_is_valid(F.col(identifier)))
+    parsed = codec.once(rows, "__p", ids.try_id_parse(F.col(identifier))).where("__p is not null")
     p = F.col("__p")
     test = F.lit(True)
     for name in TEST_ORDER:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexaloc.functions import ids
+from hexaloc.functions.codec import once
 from hexaloc.shipping import ship
 
 
@@ -35,10 +36,11 @@ def page_ids(pages: DataFrame, url: str = "url") -> DataFrame:
     """pages with id: the identifier of each address; null where none can be made."""
     p = url_parts(F.col(url))
     made = ids.try_id_new(p["scheme"], p["context"], p["path"])
-    return pages.withColumn("id", F.when(p["fragment"] == "", made).otherwise(ids.try_id_set(made, "fragment", p["fragment"])))
+    made = once(pages, "id", made)
+    return once(made, "id", F.when(p["fragment"] == "", F.col("id")).otherwise(ids.try_id_set(F.col("id"), "fragment", p["fragment"])))
 
 
 def document_ids(documents: DataFrame) -> DataFrame:
     """documents with id: file, source, and language and number as a path."""
     path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return documents.withColumn("id", ids.try_id_new(F.lit("file"), F.col("source"), path))
+    return once(documents, "id", ids.try_id_new(F.lit("file"), F.col("source"), path))
