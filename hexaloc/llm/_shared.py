@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Where it is unset, a local folder serves, but only for a local master."""
+    Where it is unset, a local folder serves, but only for a local master; it goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + tempfile.gettempdir() + "/hexaloc-shared"
+    return _local_folder()
+
+
+@lru_cache(1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="hexaloc-")
+    atexit.register(shutil.rmtree, folder, True)
+    return "file://" + folder
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

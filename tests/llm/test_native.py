@@ -110,3 +110,13 @@ def test_queries_digest(spark, sf):
     for r in queries.op4_sharding(spark, sf).collect():
         t = docs[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"]) == (len(t) + 16, zlib.crc32(t))
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_filter_by_ids(spark, limit):
+    from hexaloc.llm._shared import filter_by_ids, materialize
+
+    rows = materialize(spark.createDataFrame([(i % 5 or None, i) for i in range(10)], "k long, v long"), "test")
+    ids = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    assert {r["v"] for r in filter_by_ids(rows, "k", ids, True, limit).collect()} == {1, 2, 6, 7}
+    assert {r["v"] for r in filter_by_ids(rows, "k", ids, False, limit).collect()} == {0, 3, 4, 5, 8, 9}
