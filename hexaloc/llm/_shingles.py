@@ -66,7 +66,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, offsets)
 
 
-def sets_of(texts: pa.Array, width: int = 4, block: int = 4 << 20):
+def sets_of(texts: pa.Array, width: int = 4, block: int = 1 << 20):
     """For each text, the sorted distinct hashes of its shingles of so many words.
 
     A text with fewer words has its whole sequence as its one shingle, one without words none."""
