@@ -2,13 +2,14 @@
 
 Encoding merges adjacent pieces by the vocabulary's order, from an agenda (a heap of
 candidate merges, best piece first, leftmost first). Each candidate that comes up is skipped
-with odds of ``dropout``, decided by a keyed hash of the seed, the variant, the place and the
-piece, so the same call gives the same pieces anywhere. Odds of 0 give the usual encoding.
+with odds of ``dropout``, decided by a keyed hash of the seed, the text, the part's place in it
+and the candidate's turn, so the same call gives the same pieces anywhere, and every occurrence
+of a part draws its own skips. Odds of 0 give the usual encoding.
 
 No merge crosses a place between two characters that no piece holds side by side, as before a
 space mark or between a letter and most marks. The vocabulary tells which; a text is cut
-there, and each part is encoded by itself. An occurrence gets one of ``variants`` segmentations, chosen by a keyed hash
-of the text and its place in it. Segmentations are cached in two generations of bounded size.
+there, and each part is encoded by itself. What a part gives depends on nothing but the turns
+skipped, so segmentations are cached by these, in two generations of bounded size.
 
 Decoding joins the pieces' bytes. Characters that the vocabulary lacks, and the space mark
 itself where a text holds it, are written as byte pieces, so every text decodes to itself.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -30,17 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-MASK = (1 << 64) - 1
 #: Stands for no merge; above the order and id of any piece.
 NEVER = (1 << 63) - 1
+#: The pieces of a part, and how many candidate merges came up.
+Merged = tuple[list[int], int]
 
 
 @dataclass(frozen=True)
 class Dropout:
     odds: float = 0.1
     seed: int = 41
-    #: Segmentations of one part that a corpus can show.
-    variants: int = 2
+    #: Segmentations of one part that a corpus can show; None: no bound, every occurrence draws its own.
+    variants: int | None = None
 
 
 @dataclass(frozen=True)
@@ -76,6 +79,30 @@ def pairs_in(pieces: tuple[str, ...], width: int = 0x2600) -> tuple[np.ndarray,
     return number, joined
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash (the finaliser of splitmix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def skips(keys: np.ndarray, turns: np.ndarray, limit: int) -> np.ndarray:
+    """Whether the candidate of each turn is skipped, by the keyed hash."""
+    return mixed(keys + (turns + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) < limit
+
+
+def first_skip(keys: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
+    """For each key the first turn from start to before end that is skipped, or -1."""
+    n = np.maximum(end - start, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    turn = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n - start, n)
+    hit = np.flatnonzero(skips(keys[owner], turn, limit))
+    hit = hit[np.diff(owner[hit], prepend=-1) > 0]
+    out = np.full(len(n), -1)
+    out[owner[hit]] = turn[hit]
+    return out
+
+
 class Codec:
     def __init__(self, vocabulary: Vocabulary, dropout: Dropout, cache: int = 150_000):
         pieces, orders, first = vocabulary.pieces, vocabulary.orders, vocabulary.first
@@ -97,10 +124,10 @@ class Codec:
             self.bytes_of[at + b] = bytes([b])
         self.dropout, self.limit = dropout, int(dropout.odds * (1 << 32))
         self.own = [self.byte_ids[b] for b in MARK.encode()]
-        variants = dropout.variants if self.limit else 1
-        # the pieces of parts, by variant; two generations, the older one to look up only
-        self.new: list[dict[str, list[int]]] = [{"": self.own} for _ in range(variants)]
-        self.old: list[dict[str, list[int]]] = [{} for _ in range(variants)]
+        # the pieces of parts and their candidates' count, by the set of skipped turns (as bits);
+        # two generations, the older one to look up only
+        self.new: dict[int, dict[str, Merged]] = defaultdict(dict, {0: {"": (self.own, 0)}})
+        self.old: dict[int, dict[str, Merged]] = {}
         self.cache = cache
 
     def encode(self, text: str) -> list[int]:
@@ -108,34 +135,70 @@ class Codec:
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """The pieces of each text. Parts that aren't known yet are merged together."""
-        variants = self.dropout.variants if self.limit else 1
-        new, cut = self.new, []
+        flat: list[str] = []
+        ends, keys = [0], []
         for text in texts:
-            key = zlib.crc32(text.encode(), self.dropout.seed)
-            parts: list[str] = []
             for i, run in enumerate(text.split(MARK)):
                 if i:
-                    parts.append("")  # stands for a space mark of the text's own
+                    flat.append("")  # stands for a space mark of the text's own
                 elif text:
                     run = " " + run
                 if run:
-                    parts += self.parts(run.replace(" ", MARK))
-            places = np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(key)
-            chosen = (places >> np.uint64(7)) % np.uint64(variants)
-            cut.append((parts, chosen.tolist()))
-        lacking = {k for parts, chosen in cut for k in zip(parts, chosen) if k[0] not in new[k[1]]}
-        self._fill([k for k in lacking if not self._known(*k)])
-        out = [list(chain.from_iterable([new[v][p] for p, v in zip(parts, chosen)])) for parts, chosen in cut]
-        if sum(map(len, new)) >= self.cache:
-            self.old = new
-            self.new = [{"": self.own} for _ in range(variants)]
+                    flat += self.parts(run.replace(" ", MARK))
+            keys.append(zlib.crc32(text.encode(), self.dropout.seed) << 32)
+            ends.append(len(flat))
+        size = np.diff(ends)
+        places = np.arange(len(flat)) - np.repeat(ends[:-1], size)
+        out = self._drawn(flat, mixed(np.repeat(np.array(keys, np.uint64), size) + places.astype(np.uint64)))
+        if sum(map(len, self.new.values())) >= self.cache:
+            self.old = self.new
+            self.new = defaultdict(dict, {0: {"": (self.own, 0)}})
+        return [list(chain.from_iterable([x[0] for x in out[a:b]])) for a, b in zip(ends, ends[1:])]
+
+    def _drawn(self, parts: list[str], keys: np.ndarray) -> list[Merged]:
+        """Each part's pieces under its own skips. All start without any; those with a skip among
+        the turns that came up are looked up again with the first such, until none is left."""
+        plain = self.new[0]
+        if self.dropout.variants:
+            keys = keys % np.uint64(self.dropout.variants)
+        # long parts seldom come twice, and have too many skips to look for one by one
+        long = [r for r, p in enumerate(parts) if len(p) > 32] if self.limit else []
+        direct = {r: self._merged(parts[r], skips(keys[r : r + 1], np.arange(3 * len(parts[r])), self.limit).tobytes()) for r in long}
+        if long:
+            parts = list(parts)
+            for r in long:
+                parts[r] = ""
+        lacking = {p for p in parts if p not in plain}
+        self._fill([(p, 0) for p in lacking if not self._known(p, 0)])
+        out = [plain[p] for p in parts]
+        for r, x in direct.items():
+            out[r] = x
+        if not self.limit:
+            return out
+        turns = np.fromiter((x[1] for x in out), np.int64, len(out))
+        turns[long] = 0
+        at = first_skip(keys, np.zeros(len(out), np.int64), turns, self.limit)
+        rows = np.flatnonzero(at >= 0)
+        at = at[rows]
+        sets = [1 << a for a in at.tolist()]
+        while len(rows):
+            places = rows.tolist()
+            wanted = list(zip([parts[r] for r in places], sets))
+            lacking = {k for k in wanted if k[0] not in self.new[k[1]]}
+            self._fill([k for k in lacking if not self._known(*k)])
+            found = [self.new[v][p] for p, v in wanted]
+            for r, x in zip(places, found):
+                out[r] = x
+            at = first_skip(keys[rows], at + 1, np.fromiter((x[1] for x in found), np.int64, len(found)), self.limit)
+            sets = [v | 1 << a for v, a in zip(sets, at.tolist()) if a >= 0]
+            rows, at = rows[at >= 0], at[at >= 0]
         return out
 
-    def _known(self, part: str, variant: int) -> bool:
+    def _known(self, part: str, skipped: int) -> bool:
         """Whether the older generation knows a part; if so, the newer gets it."""
-        known = self.old[variant].get(part)
+        known = self.old[skipped].get(part) if skipped in self.old else None
         if known is not None:
-            self.new[variant][part] = known
+            self.new[skipped][part] = known
         return known is not None
 
     def _fill(self, keys: list[tuple[str, int]]) -> None:
@@ -145,7 +208,7 @@ class Codec:
         for k in keys:
             part = k[0]
             n = len(part)
-            if n == 1 or n > 32 or part[1] == MARK or not all(c in ids for c in part):
+            if n == 1 or n > 32 or k[1] >> 64 or part[1] == MARK or not all(c in ids for c in part):
                 self.new[k[1]][part] = self.merge(*k)
             else:
                 by_width.setdefault(4 if n <= 4 else 8 if n <= 8 else 12 if n <= 12 else 20 if n <= 20 else 32, []).append(k)
@@ -159,7 +222,8 @@ class Codec:
         syms = np.full((n, width + 1), -1, np.int64)
         for row, (part, _) in enumerate(keys):
             syms[row, : len(part)] = [ids[c] for c in part]
-        salt = np.array([self._salt(*k) for k in keys], np.uint64)
+        skipped = np.array([v for _, v in keys], np.uint64)
+        turn = np.zeros(n, np.uint64)
         right = np.tile(np.arange(1, width + 2), (n, 1))
         left = right - 2
         agenda = self._lookup(syms[:, :-1], syms[:, 1:])
@@ -169,13 +233,11 @@ class Codec:
             m = agenda[rows, i]
             live = m != NEVER
             rows, i, m = rows[live], i[live], m[live]
-            if self.limit:
-                x = salt[rows] ^ ((m >> 20 << 32 | i) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                drop = ((x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) < self.limit
-                agenda[rows[drop], i[drop]] = NEVER
-                r, i, m = rows[~drop], i[~drop], m[~drop]
-            else:
-                r = rows
+            now = turn[rows]
+            turn[rows] += np.uint64(1)
+            drop = (skipped[rows] >> np.minimum(now, np.uint64(63)) & np.uint64(1) > 0) & (now < 64)
+            agenda[rows[drop], i[drop]] = NEVER
+            r, i, m = rows[~drop], i[~drop], m[~drop]
             made = m & 0xFFFFF
             j = right[r, i]
             k = right[r, j]
@@ -194,8 +256,8 @@ class Codec:
         flat = syms[kept].tolist()
         ends = np.cumsum(kept.sum(1)).tolist()
         at = 0
-        for k, end in zip(keys, ends):
-            self.new[k[1]][k[0]] = flat[at:end]
+        for k, end, turns in zip(keys, ends, turn.tolist()):
+            self.new[k[1]][k[0]] = flat[at:end], turns
             at = end
 
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,9 +266,6 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.values[at], NEVER)
 
-    def _salt(self, part: str, variant: int) -> int:
-        return zlib.crc32(part.encode(), self.dropout.seed * 1000 + variant) * 0xC2B2AE3D27D4EB4F & MASK
-
     def parts(self, marked: str) -> list[str]:
         """The text cut wherever no piece holds the two characters side by side."""
         code = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -215,15 +274,18 @@ class Codec:
         at = [0, *cuts.tolist()]
         return [marked[a:b] for a, b in zip(at, [*at[1:], len(marked)])]
 
-    def merge(self, part: str, variant: int) -> list[int]:
-        """The pieces of a part, by its agenda: order, then place, of each candidate merge."""
-        ids, made, limit = self.ids, self.made.get, self.limit
+    def merge(self, part: str, skipped: int) -> Merged:
+        """The pieces of a part and the count of its candidates, with the given turns (bits) skipped."""
+        return self._merged(part, bytes(skipped >> t & 1 for t in range(skipped.bit_length())))
+
+    def _merged(self, part: str, skipped: bytes) -> Merged:
+        """merge(), by its agenda: order, then place, of each candidate merge; skipped has a byte a turn."""
+        ids, made, turn = self.ids, self.made.get, 0
         n = len(part)
         syms = [ids.get(c, -1) for c in part]  # -1: a character without a piece, -2: merged away
         if n == 1:
-            return [syms[0]] if syms[0] >= 0 else [self.byte_ids[b] for b in part.encode()]
+            return [syms[0]] if syms[0] >= 0 else [self.byte_ids[b] for b in part.encode()], 0
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        salt = self._salt(part, variant)
         agenda = []
         a = syms[0]
         for i in range(n - 1):
@@ -239,10 +301,9 @@ class Codec:
             a = syms[i]
             if a < 0 or (j := right[i]) >= n or (b := syms[j]) < 0 or (m := made(a << 20 | b)) is None or m >> 20 != e >> 32:
                 continue  # no longer there
-            if limit:
-                x = (salt ^ (e + 1) * 0x9E3779B97F4A7C15) & MASK
-                if (x ^ x >> 31) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF < limit:
-                    continue
+            turn += 1
+            if turn <= len(skipped) and skipped[turn - 1]:
+                continue
             c = syms[i] = m & 0xFFFFF
             syms[j] = -2
             k = right[i] = right[j]
@@ -253,10 +314,10 @@ class Codec:
             h = left[i]
             if h >= 0 and (a := syms[h]) >= 0 and (m := made(a << 20 | c)) is not None:
                 push(agenda, (m >> 20) << 32 | h)
-        return self._spelled(syms, part)
+        return self._spelled([p for p in syms if p != -2], part), turn
 
     def _spelled(self, syms: list[int], part: str) -> list[int]:
-        """syms without merged places, with bytes for the characters without a piece."""
+        """syms with bytes for the characters without a piece."""
         if min(syms) >= 0:
             return syms
         lacking = iter([c for c in part if c not in self.ids])
@@ -264,7 +325,7 @@ class Codec:
         for p in syms:
             if p >= 0:
                 out.append(p)
-            elif p == -1:
+            else:
                 out += [self.byte_ids[b] for b in next(lacking).encode()]
         return out
 

@@ -370,6 +370,25 @@ def test_pieces_with_dropout(vocabulary):
     assert all(other.new[v][p] == other.merge(p, v) for p, v in keys)
 
 
+def test_pieces_of_every_occurrence(vocabulary):
+    codec, n = pieces.Codec(vocabulary, pieces.Dropout(odds=0.1)), 4000
+    text = " ".join(["the internationalization"] * n)
+    ids = codec.encode(text)
+    assert codec.decode(ids) == text and ids == codec.encode(text) == pieces.Codec(vocabulary, pieces.Dropout(odds=0.1), cache=50).encode(text)
+    shown = defaultdict(int)
+    for word in codec._drawn(["▁internationalization"] * n, pieces.mixed(np.arange(n, dtype=np.uint64))):
+        shown[tuple(word[0])] += 1
+    plain, turns = codec.merge("▁internationalization", 0)
+    # nothing is skipped in 0.9 ** turns of the occurrences; other skips may lead to the same pieces
+    assert len(shown) > 20 and 0.9**turns - 0.04 < shown[tuple(plain)] / n < 0.6
+    assert len({tuple(x[0]) for x in codec._drawn(["▁the"] * n, pieces.mixed(np.arange(n, dtype=np.uint64)))}) > 2
+    # a skip drawn by brute force is the skip that is looked up
+    keys = pieces.mixed(np.arange(300, dtype=np.uint64))
+    for part in ("▁internationalization", "▁queeauelle", "x" * 40):
+        drops = [pieces.skips(keys[i : i + 1], np.arange(120), codec.limit).tobytes() for i in range(300)]
+        assert codec._drawn([part] * 300, keys) == [codec._merged(part, d) for d in drops]
+
+
 def test_pieces_query(spark, sf):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = queries.op9_sentencepiece(spark, sf).collect()
