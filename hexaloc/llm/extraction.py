@@ -7,7 +7,8 @@ whole sequence of blocks, so each block is judged in the context of the whole pa
 trained on invented pages, from a fixed seed, on the driver; its weights (some 0.2 MB) are broadcast.
 
 Defined results: a null page is an empty one, whose text is empty; script, style and similar
-elements have no blocks, nor have comments; unclosed and stray tags are borne with; character
+elements have no blocks, nor have comments; unclosed and stray tags are borne with (an unclosed
+script, style, textarea, iframe or comment runs to the page's end, as in HTML); character
 references are decoded, runs of white space become a space; blocks without text are left out;
 repeated rows stay; other columns are carried only if named.
 """
@@ -37,10 +38,13 @@ BESIDE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 #: What such an element lies in; nothing beyond is ended.
 HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select div section article aside main body".split())
 TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object)\b(?:.*?</\1\s*>|.*\Z)"
+    r"<!--(?:.*?-->|.*\Z)|<(script|style|textarea|iframe)(?=[\s/>])(?:.*?</\1(?=[\s/>])[^>]*(?:>|\Z)|.*\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"<]*"|'[^'<]*'|["'])*+)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
+#: Elements without blocks that hold markup: left out with all they hold, if they are closed.
+UNSHOWN = frozenset("noscript template svg select object".split())
+UNSHOWN_TAG = re.compile(rf"<(?:{'|'.join(sorted(UNSHOWN))})(?=[\s/>])", re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PATH, LEAF, WORDS, SIZES = 256, 32, 32, 6
 HIDDEN = 16
@@ -61,12 +65,30 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _unshown(page: str) -> dict[int, int]:
+    """Where each closed element of such a kind starts and ends; an svg that closes itself holds nothing."""
+    out: dict[int, int] = {}
+    if UNSHOWN_TAG.search(page):
+        begun: dict[str, list[int]] = {t: [] for t in UNSHOWN}
+        for m in TAG.finditer(page):
+            tag = (m[3] or "").lower()
+            if tag not in UNSHOWN:
+                continue
+            if not m[2]:
+                if tag != "svg" or not m[0].endswith("/>"):
+                    begun[tag].append(m.start())
+            elif begun[tag]:
+                out[begun[tag].pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
     """(text, tag path, characters in links) of a page's blocks, in order."""
     out: list = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
+    unshown = _unshown(page)
 
     def flush() -> None:
         nonlocal linked
@@ -78,12 +100,14 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
         linked = 0
 
     for m in TAG.finditer(page):
+        if m.start() < at:
+            continue
         if m.start() > at:
             text.append(page[at : m.start()])
             linked += in_link * (m.start() - at)
-        at = m.end()
+        at = unshown.get(m.start(), m.end())
         tag = m[3]
-        if tag is None:
+        if tag is None or at > m.end():
             continue
         tag = tag.lower()
         if tag not in BLOCK:

@@ -110,6 +110,25 @@ def test_blocks(page, expected):
     assert [b[0] for b in extraction.blocks(page)] == expected
 
 
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        ('<svg class="i"/><p>x</p><svg><text>t</text></svg><p>y', ["x", "y"]),
+        ("<svg>a<svg/>b<svg>c</svg>d</svg><p>x", ["x"]),
+        ("<svg><p>x</p><svg>t</svg><p>y", ["x", "y"]),
+        ("<noscript><p>x", ["x"]),
+        ("<object data=a><p>x</p><p>y", ["x", "y"]),
+        ("<svg-icon></svg-icon><p>x</p><template-x>y</template-x><select-box>z", ["x", "yz"]),
+        ("<script-x>a</script-x><p>x", ["a", "x"]),
+        ("<select><option>a</select><object>b</object><template><p>c</template><noscript>d</NOSCRIPT ><p>x", ["x"]),
+        ("<svg><!-- </svg> -->t</svg><p>x<script>'<svg>'</script ><p>y", ["x", "y"]),
+        ("<svg></object></svg ><p>x<textarea><p>y", ["x"]),
+    ],
+)
+def test_blocks_after_unshown_elements(page, expected):
+    assert [b[0] for b in extraction.blocks(page)] == expected
+
+
 def test_extraction(spark):
     whole = "<body><nav><ul><li><a href=1>Home</a></li></ul></nav><article><h1>Title of it</h1><p>Some&amp; words\n here.<p>More of them</article><footer>&copy; x</footer></body>"
     rows = [(1, "u", whole, "k"), (2, "u", None, "k"), (3, "u", "", "k"), (4, "u", whole, "k")]
