@@ -1,14 +1,14 @@
 """Personal data: exact patterns, and identifiers found by bootstrapped contexts.
 
 Base spans come from fixed patterns (email, ip, card, phone). They are the seeds. Around each
-seed, and around every other token that looks like an identifier, the text's two tokens before
-and one after make a lexical pattern. Spark then scores the graph of patterns and instances:
-a pattern is as good as the instances that it holds, an instance as good as its patterns
-together (noisy-or), for a few rounds, seeds fixed at 1. Instances of patterns with high
-confidence become spans of kind ``id``.
+seed the text's two tokens before and one after make a lexical pattern. The texts are then read
+for every token that fills the slot of a pattern with enough seeds, whatever its characters or
+length. Spark scores the graph of patterns and instances: a pattern is as good as the instances
+that it holds, an instance as good as its patterns together (noisy-or), for a few rounds, seeds
+fixed at 1. Instances of patterns with high confidence become spans of kind ``id``.
 
-The texts are read once. Counts are pre-aggregated over the whole corpus; only narrow rows
-(places, hashes) are moved. Masking reads the texts again and joins the spans by key.
+The texts are read once a step; only narrow, distinct rows (pattern, instance) are moved. The
+patterns with enough seeds are broadcast, and spans are found in place.
 
 Defined results: a null text is an empty one; equal spans of repeated rows stay with their
 rows; rows are told apart even if their keys are equal or null; other columns are not carried.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +36,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: What may be an identifier: a run of such characters, 6 or more, that holds a digit.
-RUN = re.compile(r"[A-Za-z0-9@._%+/:-]+")
-RUN_OF = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@._%+/:-")
+#: What may fill the slot of a context: a run of such characters, without punctuation at its ends.
+RUN = re.compile(r"[\w@.%+/:-]+")
+ENDS = ".:/-@%+_"
 BEFORE = re.compile(r"\w+|[^\w\s]")
 
 
@@ -49,6 +50,8 @@ class Bootstrap:
     min_confidence: float = 0.8
     #: Counts against a pattern, as of an instance that is none.
     doubt: float = 0.5
+    #: Confidence from which a pattern lends some to its instances.
+    lends: float = 0.5
 
 
 def _luhn(digits: str) -> bool:
@@ -100,105 +103,117 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Tokens that may be identifiers, in time linear in the text: the runs around digits."""
-    end, m = 0, DIGIT.search(text)
-    while m:
-        s = m.start()
-        while s > end and text[s - 1] in RUN_OF:
-            s -= 1
-        end = e = RUN.match(text, m.start()).end()
-        while e > s and text[e - 1] in ".:/-@%+_":
-            e -= 1
-        while s < e and text[s] in ".:/-@%+_":
-            s += 1
-        if e - s >= 6:
-            yield s, e
-        m = DIGIT.search(text, end)
-
-
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, str, str]]:
-    """(start, end, is a seed, pattern, instance) of the seeds and of what else may be an identifier."""
-    if not spans and not DIGIT.search(text):
-        return []
+    """All tokens that may fill a slot."""
+    for m in RUN.finditer(text):
+        run = m[0]
+        left = len(run) - len(run.lstrip(ENDS))
+        if left < len(run):
+            yield m.start() + left, m.start() + len(run.rstrip(ENDS))
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]], seeds_only: bool = False) -> Iterator[tuple[int, int, bool, str]]:
+    """(start, end, is a seed, pattern) of the seeds and of the tokens that touch none, by place."""
+    if seeds_only and not spans:
+        return
     places = [(s, e, True) for s, _, e in spans]
-    edges, n = sorted((s, e) for s, _, e in spans), 0
-    for s, e in tokens(text):
-        while n < len(edges) and edges[n][1] <= s:
-            n += 1
-        if n == len(edges) or edges[n][0] >= e:
-            places.append((s, e, False))
-    out = []
+    if not seeds_only:
+        edges, n = sorted((s, e) for s, _, e in spans), 0
+        for s, e in tokens(text):
+            while n < len(edges) and edges[n][1] <= s:
+                n += 1
+            if n == len(edges) or edges[n][0] >= e:
+                places.append((s, e, False))
+        places.sort()
+    found = [(m.start(), m.end()) for m in BEFORE.finditer(text)]
+    words = [DIGIT.sub("0", text[s:e].lower()) for s, e in found]
+    starts, ends = [s for s, _ in found], [e for _, e in found]
     for s, e, seed in places:
-        left = BEFORE.findall(text[max(0, s - 40) : s].lower())[-2:]
-        right = BEFORE.match(text[e : e + 20].lstrip().lower())
-        pattern = " ".join(DIGIT.sub("0", x) for x in left) + " _ " + (DIGIT.sub("0", right[0]) if right else "")
-        out.append((s, e, seed, pattern, text[s:e]))
-    return out
-
-
-FOUND = "array<struct<start:int,end:int,seed:boolean,pattern:string,instance:string>>"
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("pattern", pa.string()), ("instance", pa.string())])
-    names = ["start", "end", "seed", "pattern", "instance"]
-    for b in batches:
-        counts: list[list[int]] = [[], [], [], []]
-        base, digest, found = [], [], []
-        for t in b.column(1):
-            text = t.as_py() or ""
-            spans = base_spans(text)
-            for k in range(4):
-                counts[k].append(sum(x[1] == k for x in spans))
-            base.append(written(spans))
-            digest.append(hashlib.sha256(base[-1].encode()).hexdigest())
-            found.append([dict(zip(names, x)) for x in contexts(text, spans)])
-        cols = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(digest, pa.string()), pa.array(found, pa.list_(place))]
-        yield pa.RecordBatch.from_arrays(cols, ["key", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "found"])
-
-
-def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: row (a number of its own), key, counts, base spans, what was found in context."""
-    docs = docs.select(key, text)
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.mapInArrow(_scan, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, found {FOUND}")
-    return materialize(out.withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+        i, j = bisect_right(ends, s), bisect_left(starts, e)
+        yield s, e, seed, " ".join(words[max(0, i - 2) : i]) + " _ " + (words[j] if j < len(words) else "")
+
+
+def occurrences(docs: DataFrame, text: str, patterns: list[str] | None, instances: list[str] = []) -> DataFrame:
+    """pattern, instance, seed: distinct, of every token in one of the patterns or that is one of
+    the instances; patterns of None: of the seeds."""
+    wanted = docs.sparkSession.sparkContext.broadcast((None if patterns is None else frozenset(patterns), frozenset(instances)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = wanted.value
+        for b in batches:
+            out = set()
+            for t in b.column(0):
+                text = t.as_py() or ""
+                for s, e, seed, p in contexts(text, base_spans(text), own is None):
+                    if own is None or p in own or known and text[s:e] in known:
+                        out.add((p, text[s:e], seed))
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_())], ["pattern", "instance", "seed"])
+
+    rows = docs.select(text).mapInArrow(run, "pattern string, instance string, seed boolean")
+    return materialize(rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
 
 
-def confident_patterns(places: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
-    """pattern, confidence, of the patterns to trust. places: pattern, instance, seed."""
-    graph = places.groupBy(F.xxhash64("pattern").alias("p"), F.xxhash64("instance").alias("i")).agg(F.max("seed").alias("seed"))
-    # patterns without enough seeds can't pass, nor lend confidence
-    over = graph.groupBy("p").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("n")).where(F.col("seeds") >= how.min_seeds)
-    graph = materialize(graph.join(over.select("p"), "p").select("p", "i", "seed", F.col("seed").cast("double").alias("score")), "pii-graph")
+def _strings(df: DataFrame) -> list[str]:
+    return [r[0] for r in df.toLocalIterator()]
+
+
+def confident_patterns(docs: DataFrame, how: Bootstrap = Bootstrap(), text: str = "text") -> list[str]:
+    """The patterns to trust. A pattern needs min_seeds distinct confident instances to be scored;
+    then every token that fills its slot counts, for or against it."""
+    held = occurrences(docs, text, None)
+    patterns = _strings(held.groupBy("pattern").count().where(F.col("count") >= how.min_seeds).select("pattern"))
+    if not patterns:
+        return []
+    graph = occurrences(docs, text, patterns).withColumn("score", F.col("seed").cast("double"))
     for n in range(how.rounds):
-        patterns = graph.groupBy("p").agg((F.sum(F.col("score").cast("decimal(20,9)")).cast("double") / (F.count(F.lit(1)) + how.doubt)).alias("confidence"))
+        scored = graph.groupBy("pattern").agg((F.sum(F.col("score").cast("decimal(20,9)")).cast("double") / (F.count(F.lit(1)) + how.doubt)).alias("confidence"))
         if n == how.rounds - 1:
-            return materialize(patterns.where(F.col("confidence") >= how.min_confidence), "pii-patterns")
-        doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))).cast("decimal(20,9)")).cast("double")
-        instances = graph.join(patterns, "p").groupBy("i").agg((1 - F.exp(doubt)).alias("new"))
-        graph = materialize(graph.join(instances, "i").select("p", "i", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("new")).alias("score")), "pii-graph")
+            return _strings(scored.where(F.col("confidence") >= how.min_confidence).select("pattern"))
+        graph = rescored(graph, scored, how)
     raise ValueError("rounds must be 1 or more")
 
 
+def rescored(graph: DataFrame, scored: DataFrame, how: Bootstrap) -> DataFrame:
+    """The graph with its instances' new scores. A pattern lends confidence only if most of its
+    instances count: a common word fills many slots that are seldom an identifier's."""
+    lent = F.when(F.col("confidence") >= how.lends, F.col("confidence")).otherwise(0.0)
+    doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - lent)).cast("decimal(20,9)")).cast("double")
+    instances = graph.join(scored, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("new"))
+    return materialize(graph.join(instances, "instance").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("new")).alias("score")), "pii-graph")
+
+
+def learned_spans(text: str, base: list[tuple[int, int, int]], trusted: frozenset[str]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the tokens in trusted contexts that touch no base span."""
+    return [(s, 4, e) for s, e, seed, p in contexts(text, base) if not seed and p in trusted] if trusted else []
+
+
+FOUND = "array<struct<start:int,kind:int,end:int>>"
+
+
 def spans(docs: DataFrame, how: Bootstrap = Bootstrap(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (start, kind, end of all): a row per document."""
-    rows = scanned(docs, key, text)
-    places = rows.select("row", F.inline("found"))
-    trusted = confident_patterns(places, how).select("p")
-    new = places.where("not seed").join(trusted, F.xxhash64("pattern") == F.col("p"), "left_semi")
-    new = new.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("new"))
-    out = rows.join(new, "row", "left")
-    parsed = F.transform(
-        F.when(F.col("base") != "", F.split("base", ",")).otherwise(F.array().cast("array<string>")),
-        lambda x: F.struct(
-            F.split(x, ":")[1].cast("int").alias("start"), (F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]) - 1).cast("int").alias("kind"), F.split(x, ":")[2].cast("int").alias("end")
-        ),
-    )
-    every = F.array_sort(F.concat(parsed, F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    name = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"])
-    out = out.withColumn("all", every)
-    return out.select("key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(F.transform("all", name), ",").alias("spans"), F.col("all").alias("found"))
+    trusted = docs.sparkSession.sparkContext.broadcast(frozenset(confident_patterns(docs, how, text)))
+    docs = docs.select(key, text)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
+        for b in batches:
+            counts: list[list[int]] = [[], [], [], []]
+            digest, every, found = [], [], []
+            for t in b.column(1):
+                text = t.as_py() or ""
+                base = base_spans(text)
+                for k in range(4):
+                    counts[k].append(sum(x[1] == k for x in base))
+                digest.append(hashlib.sha256(written(base).encode()).hexdigest())
+                own = sorted(base + learned_spans(text, base, trusted.value))
+                every.append(written(own))
+                found.append([dict(zip(("start", "kind", "end"), x)) for x in own])
+            cols = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(every, pa.string()), pa.array(found, pa.list_(place))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
+
+    return docs.mapInArrow(run, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found {FOUND}")
 
 
 def mask(text: str, found: list[tuple[int, int, int]]) -> str:

@@ -230,6 +230,14 @@ def test_bootstrap(spark):
     assert pii.spans(docs.limit(0)).count() == 0
 
 
+def test_bootstrap_takes_any_token(spark):
+    rows = [(i, f"Please write to contact mailbox user{i}@mail.example.com today") for i in range(40)]
+    odd = ["jane.doe", "4711", "Zoë", "k"]
+    rows += [(100 + i, f"Please write to contact mailbox {x} today") for i, x in enumerate(odd)] + [(200, "the mailbox is shut today")]
+    got = {r["key"]: r["spans"] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == f"id:32:{32 + len(x)}" for i, x in enumerate(odd)) and got[200] == ""
+
+
 def test_pii_query(spark, sf):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op6_pii(spark, sf).collect():
