@@ -158,27 +158,42 @@ def _strings(df: DataFrame) -> list[str]:
 
 
 def confident_patterns(docs: DataFrame, how: Bootstrap = Bootstrap(), text: str = "text") -> list[str]:
-    """The patterns to trust. A pattern needs min_seeds distinct confident instances to be scored;
-    then every token that fills its slot counts, for or against it."""
-    held = occurrences(docs, text, None)
-    patterns = _strings(held.groupBy("pattern").count().where(F.col("count") >= how.min_seeds).select("pattern"))
-    if not patterns:
-        return []
-    graph = occurrences(docs, text, patterns).withColumn("score", F.col("seed").cast("double"))
+    """The patterns to trust. A pattern needs min_seeds distinct confident instances (seeds, and
+    instances found in trusted patterns so far) to be scored in a round; then every token that
+    fills its slot counts, for or against it. Instances found in a round bring all the patterns
+    around them to the next."""
+    held = occurrences(docs, text, None).select("pattern", "instance")
+    graph, patterns, found = None, set(), set()
     for n in range(how.rounds):
+        supported = _strings(held.distinct().groupBy("pattern").count().where(F.col("count") >= how.min_seeds).select("pattern"))
+        fresh = [p for p in supported if p not in patterns]
+        if fresh:
+            patterns.update(fresh)
+            more = occurrences(docs, text, fresh).withColumn("score", F.col("seed").cast("double"))
+            graph = more if graph is None else graph.unionByName(more)
+            if n:
+                graph = rescored(graph, scored, how)
+        if graph is None:
+            return []
         scored = graph.groupBy("pattern").agg((F.sum(F.col("score").cast("decimal(20,9)")).cast("double") / (F.count(F.lit(1)) + how.doubt)).alias("confidence"))
+        scored = materialize(scored, "pii-patterns")
+        trusted = scored.where(F.col("confidence") >= how.min_confidence).select("pattern")
         if n == how.rounds - 1:
-            return _strings(scored.where(F.col("confidence") >= how.min_confidence).select("pattern"))
+            return _strings(trusted)
         graph = rescored(graph, scored, how)
+        new = [i for i in _strings(graph.where("not seed").join(trusted, "pattern", "left_semi").select("instance").distinct()) if i not in found]
+        if new:
+            found.update(new)
+            held = materialize(held.unionByName(occurrences(docs, text, [], new).select("pattern", "instance")), "pii-held")
     raise ValueError("rounds must be 1 or more")
 
 
 def rescored(graph: DataFrame, scored: DataFrame, how: Bootstrap) -> DataFrame:
     """The graph with its instances' new scores. A pattern lends confidence only if most of its
     instances count: a common word fills many slots that are seldom an identifier's."""
-    lent = F.when(F.col("confidence") >= how.lends, F.col("confidence")).otherwise(0.0)
+    lent = F.when(F.col("confidence") >= how.lends, F.col("confidence")).otherwise(0.0)  # null: not scored yet
     doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - lent)).cast("decimal(20,9)")).cast("double")
-    instances = graph.join(scored, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("new"))
+    instances = graph.join(scored, "pattern", "left").groupBy("instance").agg((1 - F.exp(doubt)).alias("new"))
     return materialize(graph.join(instances, "instance").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("new")).alias("score")), "pii-graph")
 
 

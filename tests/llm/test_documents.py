@@ -238,6 +238,18 @@ def test_bootstrap_takes_any_token(spark):
     assert all(got[100 + i] == f"id:32:{32 + len(x)}" for i, x in enumerate(odd)) and got[200] == ""
 
 
+def test_bootstrap_goes_on_from_what_it_found(spark):
+    codes = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11)) + "q" for i in range(12)]
+    rows = [(i, f"Please write to contact mailbox user{i}@mail.example.com today") for i in range(40)]
+    rows += [(100 + i, f"Please write to contact mailbox {c} today") for i, c in enumerate(codes)]
+    # no seed is ever in this context, only what the first one found
+    rows += [(200 + i, f"his member id {c} was checked") for i, c in enumerate([*codes, "newcomer"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["key"]: r["spans"] for r in pii.spans(docs).collect()}
+    assert got[212] == "id:14:22" and got[200] == f"id:14:{14 + len(codes[0])}"
+    assert {r["key"]: r["spans"] for r in pii.spans(docs, pii.Bootstrap(rounds=1)).collect()}[212] == ""
+
+
 def test_pii_query(spark, sf):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op6_pii(spark, sf).collect():
