@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexaloc.llm._shared import filter_by_ids, materialize
+from hexaloc.llm._shared import materialize
 
 KINDS = ("email", "ip", "card", "phone", "id")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -244,31 +244,23 @@ def mask(text: str, found: list[tuple[int, int, int]]) -> str:
 def masked(docs: DataFrame, how: Bootstrap = Bootstrap(), key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with personal data masked in their texts; the length column follows, if there is one.
 
-    Rows with equal keys are taken for the same document. Base spans are found again in place,
-    so only documents with spans learned from contexts meet a join."""
-    learned = spans(docs, how, key, text).select("key", F.filter("found", lambda x: x["kind"] == 4).alias("__new")).where(F.size("__new") > 0)
-    learned = materialize(learned.groupBy("key").agg(F.max("__new").alias("__new")), "pii-learned")
-    learned = learned.withColumnRenamed("key", "__key")
-    ids = learned.select(F.col("__key").alias(key))
-    with_new = filter_by_ids(docs, key, ids, keep=True)
-    with_new = with_new.join(learned, with_new[key] == learned["__key"]).drop("__key")
-    none = F.lit(None).cast("array<struct<start:int,kind:int,end:int>>").alias("__new")
-    rest = filter_by_ids(docs, key, ids, keep=False).select("*", none)
-    both = rest.unionByName(with_new)
+    All spans are found again in place, so keys, null or repeated ones too, don't matter."""
+    trusted = docs.sparkSession.sparkContext.broadcast(frozenset(confident_patterns(docs, how, text)))
     at, size = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, lengths = [], []
-            for t, new in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                found = base_spans(t or "") + [(x["start"], x["kind"], x["end"]) for x in new or ()]
+            for t in b.column(at).to_pylist():
+                found = base_spans(t or "")
+                found += learned_spans(t or "", found, trusted.value)
                 texts.append(mask(t, found) if found else t)
                 lengths.append(len(texts[-1] or "") if found else None)
-            cols = list(b.columns[:-1])
+            cols = list(b.columns)
             cols[at] = pa.array(texts, b.column(at).type)
             if size is not None:
                 old = cols[size].to_pylist()
                 cols[size] = pa.array([o if n is None else n for o, n in zip(old, lengths)], cols[size].type)
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
-    return both.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -250,6 +250,13 @@ def test_bootstrap_goes_on_from_what_it_found(spark):
     assert {r["key"]: r["spans"] for r in pii.spans(docs, pii.Bootstrap(rounds=1)).collect()}[212] == ""
 
 
+def test_masking_of_null_and_repeated_keys(spark):
+    rows = [(i, f"Please write to contact mailbox user{i}@mail.example.com today", 1) for i in range(40)]
+    rows += [(None, "Please write to contact mailbox J-4471-XQ9 today", 1), (7, "Oh. Please write to contact mailbox J-4471-XQ9 today", 1), (7, "contact mailbox K-11-AB77 today", 1)]
+    got = [r["text"] for r in pii.masked(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect() if "[id]" in r["text"]]
+    assert sorted(got) == ["Oh. Please write to contact mailbox [id] today", "Please write to contact mailbox [id] today", "contact mailbox [id] today"]
+
+
 def test_pii_query(spark, sf):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op6_pii(spark, sf).collect():
