@@ -46,12 +46,46 @@ def _local_folder() -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a frame to the shared folder and return the written table.
 
-    This cuts the lineage, survives lost executors, and keeps columns prunable."""
+    This cuts the lineage, survives lost executors, and keeps columns prunable. The table
+    goes with the driver's process, or before with ``release``."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_folder(spark)}/hexaloc/{tag}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/hexaloc/{spark.sparkContext.applicationId}"
+    _delete_at_exit(spark, folder)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+_LEFT: set[str] = set()
+
+
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    if folder not in _LEFT:
+        _LEFT.add(folder)
+        fs, at = _file_system(spark, folder)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing is to be computed from them any more."""
+    for t in tables:
+        fs, at = _file_system(t.sparkSession, t._written_to)
+        fs.delete(at, True)
+
+
+def broadcast_if_few(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, marked for a broadcast if it was counted to have no more than so many rows; else a shuffled join brings it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,6 +107,5 @@ def filter_by_ids(df: DataFrame, key: str, ids: DataFrame, keep: bool, broadcast
     The ids are broadcast only after they were counted and found to be no more than
     broadcast_rows (16 MB or so); more go through a shuffled join. Null keys are never in ids."""
     ids = ids.select(F.col(key).alias("__id")).where("__id is not null").distinct()
-    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = F.broadcast(ids) if few else ids
+    side = broadcast_if_few(ids, broadcast_rows)
     return df.join(side, df[key] == side["__id"], "left_semi" if keep else "left_anti")

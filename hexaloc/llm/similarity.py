@@ -4,22 +4,22 @@ A document's set is its distinct shingles; two documents link if their sets' Jac
 reaches the threshold. ``components`` gives each document the smallest id that links reach.
 
 1. Every text is shingled; documents with equal sets become one class (its smallest id).
-2. Every text signs (see ``_partenum``). Equal signatures within a batch meet in Python at
-   once, where copies collapse and all but the batch's first document are put aside, so that
-   a signature that a third of all rows share crosses the shuffle once a batch. What meets in
-   the shuffle or was put aside makes the buckets.
+2. Every text signs (see ``_partenum``). Of the documents of a batch with one signature the
+   first meets the other batches' in a shuffle; the others, and copies but one, don't cross it
+   there, so that a signature that a third of all rows share crosses it once a batch.
+   What meets or was put aside makes the buckets.
 3. Buckets are solved by stars: pairs of a leader and each other class, tested exactly.
    The leader is the smallest class first, then the one with the most links. Pairs that
    links have joined already need no test. What is left then, classes of a bucket in
    different components, meets again on its rarest elements (see ``_refined``), and each
    pair that may link is tested.
 
-Before the exact test, counts of elements by hash cell bound each pair's intersection from
-above; pairs that the bound rules out aren't read. Nothing is capped or sampled.
+Before the exact test, bits of parity bound each pair's difference from below; sets are read
+only for pairs that this leaves. Nothing is capped or sampled.
 
 Defined results: null, empty and blank texts have no set and link with nothing; a row with a
 null id keeps its size and has no component; rows that repeat keep their number; other
-columns are not carried; no rows give no rows.
+columns, whatever their names, are not carried; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,17 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hexaloc.llm._partenum import PartEnum
-from hexaloc.llm._shared import filter_by_ids, materialize
+from hexaloc.llm._shared import broadcast_if_few, filter_by_ids, materialize, release
 from hexaloc.llm._shingles import STEPS, U, mix, sets_of
 
-#: Cells in the counts that bound an intersection.
-CELLS = 64
 #: Documents whose shingles tell which are common, and sets that tell how rare elements are.
-SAMPLE_DOCS, SAMPLE_SETS = 4_000, 12_000
-#: Classes in open buckets that are broadcast (16 bytes each).
-BROADCAST_OPEN = 500_000
+SAMPLE_DOCS, SAMPLE_SETS = 4_000, 4_000
 
 
 def _key(elements: np.ndarray) -> tuple[int, int]:
@@ -57,25 +54,34 @@ def _measured(width: int):
                 n.append(len(elements))
                 keys.append(_key(elements))
             k = np.array(keys, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1])], ["doc_id", "n_shingles", "k1", "k2"])
+            out = {"doc_id": b.column(0), "n_shingles": pa.array(n, pa.int64()), "k1": pa.array(k[:, 0]), "k2": pa.array(k[:, 1])}
+            if b.num_columns > 2:
+                out["own"] = b.column(2)
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def _common(docs: DataFrame, rows: int, width: int) -> np.ndarray:
-    """Hashes of shingles that three or more distinct sets of a bounded sample share, sorted.
+def _counts_of_sample(rows: DataFrame, parts: float, key: str, seed: int, elements, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The elements that least or more sets of a hashed sample hold, sorted, and how many do.
 
-    The sample is some SAMPLE_DOCS rows by a hash of their ids; it changes the signatures but
-    not the result. rows: how many there are."""
-    part = min(1.0, SAMPLE_DOCS / max(1, rows))
-    texts = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(part * (1 << 30))).select("text").toArrow().column(0).combine_chunks()
-    sets = {e.tobytes() for e in sets_of(texts, width)} if len(texts) else set()
-    found, counts = np.unique(np.frombuffer(b"".join(sets), U), return_counts=True)
-    return found[counts > 2]
+    elements: gives the sets of a batch's second column. The counting is Spark's."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for e in elements(b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(e.astype(np.int64))], ["e"])
+
+    some = rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, parts) * (1 << 30)))
+    found = some.mapInArrow(run, "e long").groupBy("e").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= least).toArrow()
+    e, n = found.column(0).to_numpy().astype(U), found.column(1).to_numpy()
+    order = np.argsort(e)
+    return e[order], n[order]
 
-def _signed(width: int, method: PartEnum, common, aside: bool):
-    """(sig, id, lead): each signature's first document of the batch (lead null), or the others with it (aside)."""
+
+def _signed(width: int, method: PartEnum, common):
+    """Signatures of a batch's documents (at, id, sig, lead). The first document with a signature
+    goes to it (at); each other one to a place of its own, and tells signature and first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,113 +101,182 @@ def _signed(width: int, method: PartEnum, common, aside: bool):
             first = np.ones(len(sig), bool)
             first[1:] = sig[1:] != sig[:-1]
             lead = doc[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-            pick = ~first if aside else first
-            out = [pa.array(sig[pick]), pa.array(doc[pick]), pa.array(lead[pick])]
-            yield pa.RecordBatch.from_arrays(out, ["sig", "id", "lead"])
+            at = np.where(first, sig, mix(sig.view(U) ^ mix(doc.view(U))).view(np.int64))
+            out = [pa.array(at), pa.array(doc), pa.array(sig, mask=first), pa.array(lead, mask=first)]
+            yield pa.RecordBatch.from_arrays(out, ["at", "id", "sig", "lead"])
 
     return run
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements falls into each of some 2 to 4 cells an element, as bits in longs.
+
+    Sets whose bits differ in d places differ in d elements or more. Half as many cells: the
+    exclusive or of the two halves."""
+    cells = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    at = (mix(elements + STEPS[3]) & U(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells) & 1, bitorder="little").view(np.int64)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, sets, cells = [], [], []
+            docs, sets, bits = [], [], []
             for doc, elements in zip(b.column(0).to_pylist(), sets_of(b.column(1), width)):
                 docs.append(doc)
                 sets.append(elements.astype(np.int64))
-                cells.append(np.bincount((mix(elements + STEPS[3]) % U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))], ["rep", "elements", "cells"]
-            )
+                bits.append(parities(elements))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, longs), pa.array(bits, longs)], ["rep", "elements", "bits"])
 
     return run
 
 
-def _similar(common, a: str, b: str, percent: int):
-    """100 common >= percent (a + b - common), with both sizes given."""
-    return (100 + percent) * common >= percent * (F.col(a) + F.col(b))
-
-
 class _Tester:
     """Tests pairs (a, b) of classes against their sets, which it keeps in the shared folder."""
 
-    def __init__(self, docs: DataFrame, members: DataFrame, reps: DataFrame, width: int, percent: int):
+    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, percent: int):
         self.percent = percent
         texts = filter_by_ids(docs, "doc_id", reps.withColumnRenamed("rep", "doc_id"), keep=True)
-        sets = texts.mapInArrow(_sets(width), "rep long, elements array<long>, cells array<int>")
+        sets = texts.mapInArrow(_sets(width), "rep long, elements array<long>, bits array<long>")
         self.sets = materialize(sets.withColumn("n", F.size("elements")), "jaccard-sets")
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that their sizes and parities don't rule out, written to the shared folder."""
+        side = self.sets.select("rep", "n", "bits")
+        near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
+        p = pairs.join(side.toDF("a", "na", "xa"), "a").join(side.toDF("b", "nb", "xb"), "b").where(near)
+
+        def folded(x, half):
+            return F.when(F.size(x) > half, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+        size = F.least(F.size("xa"), F.size("xb"))
+        apart = F.aggregate(F.zip_with(folded(F.col("xa"), size), folded(F.col("xb"), size), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
+        # further apart than by one fold: the sizes alone decided
+        known = F.greatest(F.size("xa"), F.size("xb")) <= 2 * size
+        fits = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("na") + F.col("nb"))
+        return materialize(p.where(~known | fits).select("a", "b").distinct(), "jaccard-possible")
+
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link, written to the shared folder."""
-        for narrow in (True, False):
-            col = "cells" if narrow else "elements"
-            side = self.sets.select("rep", "n", col)
-            p = pairs.join(side.toDF("a", "na", "xa"), "a").join(side.toDF("b", "nb", "xb"), "b")
-            if narrow:
-                common = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-            else:
-                common = F.size(F.array_intersect("xa", "xb"))
-            pairs = materialize(p.where(_similar(common, "na", "nb", self.percent)).select("a", "b").distinct(), "jaccard-pairs")
-        return pairs
+        """The pairs that link, written to the shared folder.
+
+        The sets of b are moved to a's, so that the many members of a star are moved once."""
+        pairs = self.possible(pairs)
+        members = self.sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("xb"))
+        p = members.join(broadcast_if_few(pairs), "b")
+        leaders = filter_by_ids(self.sets, "rep", pairs.select(F.col("a").alias("rep")), keep=True)
+        p = p.join(leaders.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("elements").alias("xa")), "a")
+        common = F.size(F.array_intersect("xa", "xb"))
+        found = materialize(p.where((100 + self.percent) * common >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b"), "jaccard-links")
+        release(pairs)
+        return found
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that edges (a, b) reach, for every node with an edge.
+    """(node, label): the smallest node that edges (a, b) reach, for every node with an edge.
 
     Each round takes the least label among neighbours, then the label's own label, and writes
     the labels to the shared folder; it ends when nothing changes."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        known = labels.toDF("b", "near")
+        known = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
         near = both.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.toDF("new", "jump")
+        step = labels.select("node", "label").join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
+        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
         after = materialize(step.join(jump, "new").select("node", F.least("new", "jump").alias("label"), F.col("label").alias("old")), "labels")
-        labels = after.select("node", "label")
-        if after.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        done = after.where("label <> old").isEmpty()
+        release(labels)
+        labels = after
+        if done:
+            release(both)
+            return labels
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, width: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of docs."""
+    """doc_id, n_shingles, component_id: a row for each row of docs.
+
+    Keys that aren't whole numbers are told apart by 64 bits of hashes."""
     method = PartEnum(percent)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    measured = materialize(docs.mapInArrow(_measured(width), "doc_id long, n_shingles long, k1 long, k2 long"), "jaccard-docs")
+    kind = docs.schema[key].dataType
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    number = F.col(key).cast("long") if whole else F.when(F.col(key).isNotNull(), F.xxhash64(key))
+    docs = docs.select(number.alias("doc_id"), F.col(text).alias("text"), *([] if whole else [F.col(key).alias("own")]))
+    columns = "doc_id long, n_shingles long, k1 long, k2 long" + ("" if whole else f", own {kind.simpleString()}")
+    measured = materialize(docs.mapInArrow(_measured(width), columns), "jaccard-docs")
+    docs = docs.select("doc_id", "text")
     classes = measured.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = materialize(measured.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "jaccard-members")
-    class_of = members.where("rep is not null and doc_id is not null").select("doc_id", "rep").distinct()
-
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, members.count(), width))
-    schema = "sig long, id long, lead long"
-    over = Window.partitionBy("sig")
-    met = docs.mapInArrow(_signed(width, method, common, aside=False), schema).select("sig", "id", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi"))
-    aside = docs.mapInArrow(_signed(width, method, common, aside=True), schema)
-    rows = met.where("lo < hi").select("sig", "id").union(aside.select("sig", F.explode(F.array("id", "lead"))))
-    rows = rows.join(class_of, F.col("id") == F.col("doc_id")).select("sig", "rep").distinct()
-    buckets = materialize(rows.withColumns({"lo": F.min("rep").over(over), "hi": F.max("rep").over(over)}).where("lo < hi").select("sig", "rep", F.col("lo").alias("lead")), "jaccard-buckets")
+    members = measured.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), *([] if whole else ["own"]))
+    members = materialize(members, "jaccard-members")
+    release(measured)
 
-    tester = _Tester(docs, members, buckets.select("rep").distinct(), width, percent)
+    buckets = _buckets(docs, members, width, method)
+    tester = _Tester(docs, buckets.select("rep"), width, percent)
     tested = materialize(_pairs(buckets), "jaccard-tested")
     links = tester.linked(tested)
     labels = connected(links)
 
     # the leader with the most links, for buckets that are not one component yet
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    open_rows = _open(buckets, labels).join(degree, "rep", "left")
-    hub = F.max(F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep"))).over(over)
-    again = materialize(_pairs(open_rows.select("sig", "rep", "component", (-hub["col2"]).alias("lead"))).join(tested, ["a", "b"], "left_anti"), "jaccard-tested")
-    links = links.union(tester.linked(again))
-    labels = connected(links)
-    tested = tested.union(again)
-
-    rest = materialize(_open(buckets, labels).select("rep", "component").distinct(), "jaccard-open")
-    found = tester.linked(_refined(tester.sets, rest, percent).join(tested, ["a", "b"], "left_anti"))
+    hub = F.max(F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep"))).over(Window.partitionBy("bucket"))
+    opened = materialize(_open(buckets, labels), "jaccard-opened")
+    release(buckets)
+    hubs = opened.join(degree, "rep", "left").select("bucket", "rep", (-hub["col2"]).alias("lead"))
+    again = materialize(_pairs(hubs).join(tested, ["a", "b"], "left_anti"), "jaccard-tested")
+    more = tester.linked(again)
+    release(labels)
+    labels = connected(links.union(more))
+
+    rest = materialize(_open(opened, labels).select("rep", "component").distinct(), "jaccard-open")
+    release(opened)
+    pairs = materialize(_refined(tester.sets, rest, percent).join(tested.union(again), ["a", "b"], "left_anti"), "jaccard-rest")
+    found = tester.linked(pairs)
     if not found.isEmpty():
-        labels = connected(links.union(found))
+        release(labels)
+        labels = connected(links.union(more).union(found))
+    release(tester.sets, tested, again, pairs, rest, links, more, found)
+
+    joined = members.join(labels.where("label < node"), F.col("rep") == F.col("node"), "left")
+    joined = joined.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")))
+    if whole:
+        return joined.select("doc_id", "n_shingles", "component_id")
+    least = joined.groupBy("component_id").agg(F.min("own").alias("least"))
+    named = joined.join(least.withColumnRenamed("component_id", "c"), F.col("component_id") == F.col("c"), "left")
+    return named.select(F.col("own").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def _buckets(docs: DataFrame, members: DataFrame, width: int, method: PartEnum) -> DataFrame:
+    """bucket, rep, lead (its smallest class): the classes of two or more that share signatures.
+
+    Signatures that the same classes share make one bucket."""
+    common = docs.sparkSession.sparkContext.broadcast(_counts_of_sample(docs, SAMPLE_DOCS / max(1, members.count()), "doc_id", 5, lambda texts: _distinct(sets_of(texts, width)), 3)[0])
+    signed = docs.mapInArrow(_signed(width, method, common), "at long, id long, sig long, lead long").repartition("at")
+    over = Window.partitionBy("at")
+    met = signed.withColumns({"lo": F.min("id").over(over), "hi": F.max("id").over(over)}).where("lo < hi or sig is not null")
+    rows = met.select(F.coalesce("sig", "at").alias("sig"), F.explode(F.when(F.col("lead").isNull(), F.array("id")).otherwise(F.array("id", "lead"))).alias("id"))
+
+    # an id stands for its class; only those that stand for another, or for two, are looked up
+    known = members.where("rep is not null and doc_id is not null").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))
+    others = materialize(known.where((F.size("reps") > 1) | (F.col("reps")[0] != F.col("doc_id"))), "jaccard-copies")
+    rows = rows.join(broadcast_if_few(others), F.col("id") == F.col("doc_id"), "left").select("sig", F.explode(F.coalesce("reps", F.array("id"))).alias("rep"))
 
-    joined = members.join(labels.where("component < node"), F.col("rep") == F.col("node"), "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    over = Window.partitionBy("sig")
+    rows = rows.repartition("sig").distinct().withColumns({"lo": F.min("rep").over(over), "hi": F.max("rep").over(over), "all": F.bit_xor(F.xxhash64("rep")).over(over)})
+    # two groups of classes under one number would be one bucket with all of both: no pair is lost
+    rows = rows.where("lo < hi").select(F.xxhash64("lo", "hi", "all").alias("bucket"), "rep", "lo").groupBy("bucket", "rep").agg(F.min("lo").alias("lead"))
+    found = materialize(rows, "jaccard-buckets")
+    release(others)
+    return found
+
+
+def _distinct(sets: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The sets without those that came before, among these."""
+    seen = set()
+    for e in sets:
+        key = _key(e)
+        if key not in seen:
+            seen.add(key)
+            yield e
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -216,13 +291,10 @@ def _refined(sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     share t elements or more, so the first m - t + 1 of one and n - t + 1 of the other share one;
     that holds for any order. How rare an element is comes from a bounded sample of the sets. Of
     the component that holds an element most often, no two members are put together."""
-    n = rest.count()
-    own = sets.select("rep", "elements").join(F.broadcast(rest) if n <= BROADCAST_OPEN else rest, "rep")
-    part = min(1.0, SAMPLE_SETS / max(1, n))
-    sample = own.where(F.pmod(F.xxhash64("rep", F.lit(6)), F.lit(1 << 30)) < int(part * (1 << 30))).select("elements").toArrow().column(0)
-    seen, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.flatten()) for c in sample.chunks)]), return_counts=True)
-    seen, counts = seen[counts > 1], counts[counts > 1]
-    shared = sets.sparkSession.sparkContext.broadcast((seen, counts))
+    own = sets.select("rep", "elements").join(broadcast_if_few(rest), "rep")
+    shared = sets.sparkSession.sparkContext.broadcast(
+        _counts_of_sample(own.select("rep", "elements"), SAMPLE_SETS / max(1, rest.count()), "rep", 6, lambda column: (np.asarray(x.values).astype(U) for x in column), 2)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
@@ -232,8 +304,8 @@ def _refined(sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
                 e = np.asarray(elements.values)
                 count = np.zeros(len(e), np.int64)
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, e), len(known) - 1)
-                    count = np.where(known[at] == e, often[at], 0)
+                    at = np.minimum(np.searchsorted(known, e.view(U)), len(known) - 1)
+                    count = np.where(known[at] == e.view(U), often[at], 0)
                 n = len(e)
                 first = n - -(-percent * n // 100) + 1
                 order = np.lexsort((e, count))[:first]
@@ -253,13 +325,15 @@ def _refined(sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, rep, component of the buckets that hold more than one component."""
-    over = Window.partitionBy("sig")
-    known = buckets.select("sig", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+    """bucket, rep, component of the buckets that hold more than one component."""
+    over = Window.partitionBy("bucket")
+    known = buckets.select("bucket", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("label", "rep").alias("component"))
     return known.withColumns({"lo": F.min("component").over(over), "hi": F.max("component").over(over)}).where("lo < hi").drop("lo", "hi")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, width: int = 4) -> DataFrame:
-    """The documents without the near copies: of each component the smallest id stays."""
-    gone = components(docs, key, text, percent, width).where("component_id < doc_id").select(F.col("doc_id").alias(key))
+    """The documents without the near copies: of each component the smallest key stays.
+
+    Rows that share a key stay or go together, and rows with a null key stay."""
+    gone = materialize(components(docs, key, text, percent, width).where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct(), "jaccard-gone")
     return filter_by_ids(docs, key, gone, keep=False)

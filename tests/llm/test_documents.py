@@ -362,17 +362,72 @@ def test_components_edges(spark):
     assert similarity.components(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_partenum_loses_no_pair(percent):
+def test_components_of_other_keys(spark):
+    rows = [(f"k{i}", t, 1) for i, t in near_copies(4, 150)]
+    numbered = {k: n for n, (k, _, _) in enumerate(sorted(rows))}
+    docs = spark.createDataFrame([*rows, (None, rows[0][1], 1)], "name string, text string, rep int").repartition(3)
+    got = {(numbered[k], n, numbered[c]) for k, n, c in similarity.components(docs, key="name").collect() if k}
+    assert got == plain_components([(numbered[k], t) for k, t, _ in rows])
+
+
+def test_components_of_long_texts_and_clashing_columns(spark):
+    r = random.Random(6)
+    long = [f"{r.randrange(10**9)}" for _ in range(60_000)]
+    near, far = list(long), list(long)
+    near[::200], far[::5] = ["x"] * 300, ["y"] * 12_000
+    rows = [(3, " ".join(long)), (2, " ".join(near)), (1, " ".join(far)), (4, "a b"), (5, "A  B")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("rep", "n", "label", "sig", "at", "component_id", "__id")})
+    assert {r["doc_id"]: r["component_id"] for r in similarity.components(docs).collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4}
+    assert sorted(r["doc_id"] for r in similarity.one_of_each(docs).collect()) == [1, 2, 4] and similarity.one_of_each(docs).columns == docs.columns
+
+
+def similar_sets(r, percent, most=400):
+    """Two sets with random sizes, and all hashes that they were drawn from."""
+    n = int(r.integers(1, most))
+    common = int(r.integers(max(1, n * percent // 100), n + 1))
+    x = r.integers(0, 2**63, 2 * n, dtype=np.int64).astype(np.uint64)
+    return np.unique(x[:n]), np.unique(np.concatenate([x[:common], x[n : n + int(r.integers(0, n - common + 1))]])), x
+
+
+@pytest.mark.parametrize("percent", [95, 85, 80, 60])
+@pytest.mark.parametrize("told", [0.0, 0.3, 0.95])
+def test_partenum_loses_no_pair(percent, told):
     r, method = np.random.default_rng(3), PartEnum(percent)
-    for _ in range(600):
-        n = int(r.integers(1, 400))
-        common = int(r.integers(max(1, n * percent // 100), n + 1))
-        x = r.integers(0, 2**63, 2 * n, dtype=np.int64).astype(np.uint64)
-        a, b = np.unique(x[:n]), np.unique(np.concatenate([x[:common], x[n : n + int(r.integers(0, n - common + 1))]]))
+    for _ in range(400):
+        a, b, x = similar_sets(r, percent)
+        usual = np.sort(x[r.random(len(x)) < told])
         both = len(np.intersect1d(a, b))
         if 100 * both >= percent * (len(a) + len(b) - both):
-            assert len(np.intersect1d(method.signatures(a), method.signatures(b))) > 0
+            assert len(np.intersect1d(method.signatures(a, usual), method.signatures(b, usual))) > 0
+
+
+@pytest.mark.parametrize("percent", range(50, 100, 5))
+def test_partenum_has_few_partitions(percent):
+    for b in PartEnum(percent).bands_upto(5_000):
+        least = b.k // (b.k2 + 1) + 1
+        assert least <= b.n1 <= 1.5 * least and b.n1 * math.comb(b.n2, b.k2) <= 4 * b.k + 16 and (b.k2 > 0 or b.k == 0)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_unlike_sets_seldom_meet(percent):
+    r, method, met, n = np.random.default_rng(8), PartEnum(percent), 0, 0
+    for size in (20, 40, 64, 80, 100, 130, 200, 400):
+        for _ in range(60):
+            x = r.integers(0, 2**63, 2 * size, dtype=np.int64).astype(np.uint64)
+            a, b = np.unique(x[:size]), np.unique(np.concatenate([x[:2], x[size + 2 :]]))
+            met, n = met + (len(np.intersect1d(method.signatures(a), method.signatures(b))) > 0), n + 1
+    assert met <= 0.1 * n
+
+
+def test_parities():
+    r = np.random.default_rng(9)
+    for _ in range(300):
+        a, b, _ = similar_sets(r, 60)
+        x, y = sorted((similarity.parities(a), similarity.parities(b)), key=len)
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        apart = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
 
 
 def test_shingles():
