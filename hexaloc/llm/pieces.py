@@ -8,8 +8,9 @@ of a part draws its own skips. Odds of 0 give the usual encoding.
 
 No merge crosses a place between two characters that no piece holds side by side, as before a
 space mark or between a letter and most marks. The vocabulary tells which; a text is cut
-there, and each part is encoded by itself. What a part gives depends on nothing but the turns
-skipped, so segmentations are cached by these, in two generations of bounded size.
+there, and each part is encoded by itself. What a part gives without skips is kept, for a
+bounded number of parts. Occurrences with a skip among those candidates are merged anew, each
+with its own skips, many at once in numpy: one candidate of each in a step.
 
 Decoding joins the pieces' bytes. Characters that the vocabulary lacks, and the space mark
 itself where a text holds it, are written as byte pieces, so every text decodes to itself.
@@ -22,18 +23,18 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Stands for no merge; above the order and id of any piece.
+#: Stands for no merge; above any order, place and id (in an agenda: order << 32 | place << 24 | id).
 NEVER = (1 << 63) - 1
+#: Parts with more characters are merged one by one.
+WIDEST = 32
 #: The pieces of a part, and how many candidate merges came up.
 Merged = tuple[list[int], int]
 
@@ -42,8 +43,6 @@ Merged = tuple[list[int], int]
 class Dropout:
     odds: float = 0.1
     seed: int = 41
-    #: Segmentations of one part that a corpus can show; None: no bound, every occurrence draws its own.
-    variants: int | None = None
 
 
 @dataclass(frozen=True)
@@ -91,31 +90,69 @@ def skips(keys: np.ndarray, turns: np.ndarray, limit: int) -> np.ndarray:
     return mixed(keys + (turns + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) < limit
 
 
-def first_skip(keys: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
-    """For each key the first turn from start to before end that is skipped, or -1."""
-    n = np.maximum(end - start, 0)
-    owner = np.repeat(np.arange(len(n)), n)
-    turn = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n - start, n)
-    hit = np.flatnonzero(skips(keys[owner], turn, limit))
-    hit = hit[np.diff(owner[hit], prepend=-1) > 0]
-    out = np.full(len(n), -1)
-    out[owner[hit]] = turn[hit]
-    return out
+def any_skip(keys: np.ndarray, turns: np.ndarray, limit: int) -> np.ndarray:
+    """Whether any of each key's first turns is skipped."""
+    owner = np.repeat(np.arange(len(turns)), turns)
+    turn = np.arange(len(owner)) - np.repeat(np.cumsum(turns) - turns, turns)
+    return np.bincount(owner[skips(keys[owner], turn, limit)], minlength=len(turns)) > 0
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., for each start so many numbers."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class Pairs:
+    """What two pieces make: a hash table in numpy, from both ids to order << 32 | id."""
+
+    def __init__(self, made: dict[tuple[int, int], int]):
+        self.bits = max(8, (4 * len(made)).bit_length())
+        self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER)
+        left = np.array([a << 32 | b for a, b in made], np.int64)
+        values = np.array(list(made.values()), np.int64)
+        at = self._first(left)
+        while len(left):
+            # of those that want one free place the last gets it; the others try the next
+            free = self.key[at] < 0
+            self.key[at[free]] = left[free]
+            got = self.key[at] == left
+            self.value[at[got]] = values[got]
+            left, values, at = left[~got], values[~got], at[~got] + 1 & (1 << self.bits) - 1
+
+    def _first(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def candidates(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Each merge as an agenda holds it, or NEVER; negative ids make nothing."""
+        key = a.astype(np.int64) << 32 | b
+        at = self._first(key)
+        held = self.key[at]
+        out = np.where((held == key) & (a >= 0) & (b >= 0), self.value[at], NEVER)
+        rest = np.flatnonzero((held != key) & (held >= 0) & (a >= 0) & (b >= 0))
+        while len(rest):
+            at[rest] = at[rest] + 1 & (1 << self.bits) - 1
+            held = self.key[at[rest]]
+            found = held == key[rest]
+            out[rest[found]] = self.value[at[rest[found]]]
+            rest = rest[~found & (held >= 0)]
+        return out | place << 24  # NEVER stays as it is
 
 
 class Codec:
     def __init__(self, vocabulary: Vocabulary, dropout: Dropout, cache: int = 150_000):
         pieces, orders, first = vocabulary.pieces, vocabulary.orders, vocabulary.first
         self.ids = {p: i for i, p in enumerate(pieces) if i >= first}
-        # id of a left and a right piece -> order and id of the piece that they make
-        self.made: dict[int, int] = {}
+        #: ids of a left and a right piece -> the piece that they make
+        self.made: dict[tuple[int, int], int] = {}
         for p, i in self.ids.items():
             for k in range(1, len(p)):
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
-                    self.made[a << 20 | b] = orders[i] << 20 | i
-        self.keys = np.array(sorted(self.made), np.int64)
-        self.values = np.array([self.made[k] for k in sorted(self.made)], np.int64)
+                    self.made[a, b] = i
+        self.order = orders
+        if max(orders) >= 1 << 31 or len(pieces) >= 1 << 24:
+            raise ValueError("orders must be below 2 ** 31, ids below 2 ** 24")
+        self.pairs = Pairs({k: orders[i] << 32 | i for k, i in self.made.items()})
         self.number, self.joined = pairs_in(pieces[first:])
         at = pieces.index("<0x00>")
         self.byte_ids = list(range(at, at + 256))
@@ -123,148 +160,143 @@ class Codec:
         for b in range(256):
             self.bytes_of[at + b] = bytes([b])
         self.dropout, self.limit = dropout, int(dropout.odds * (1 << 32))
-        self.own = [self.byte_ids[b] for b in MARK.encode()]
-        # the pieces of parts and their candidates' count, by the set of skipped turns (as bits);
-        # two generations, the older one to look up only
-        self.new: dict[int, dict[str, Merged]] = defaultdict(dict, {0: {"": (self.own, 0)}})
-        self.old: dict[int, dict[str, Merged]] = {}
         self.cache = cache
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start over with the known parts: "" stands for a space mark of the text's own."""
+        own = [self.byte_ids[b] for b in MARK.encode()]
+        self.known = {"": 0}
+        #: of the known parts: characters (none: merged one by one), pieces, and where each starts; turns
+        self.chars, self.flat = np.zeros(0, np.int32), np.array(own, np.int32)
+        self.n_chars, self.n_flat, self.turns = np.zeros(1, np.int64), np.array([len(own)]), np.zeros(1, np.int64)
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return self.encode_many([text])[0].tolist()
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """The pieces of each text. Parts that aren't known yet are merged together."""
-        flat: list[str] = []
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces, and where each text's start (one more entry than texts)."""
+        if len(self.known) >= self.cache:
+            self._forget()
+        parts: list[str] = []
         ends, keys = [0], []
         for text in texts:
             for i, run in enumerate(text.split(MARK)):
                 if i:
-                    flat.append("")  # stands for a space mark of the text's own
+                    parts.append("")
                 elif text:
                     run = " " + run
                 if run:
-                    flat += self.parts(run.replace(" ", MARK))
+                    parts += self.parts(run.replace(" ", MARK))
             keys.append(zlib.crc32(text.encode(), self.dropout.seed) << 32)
-            ends.append(len(flat))
+            ends.append(len(parts))
         size = np.diff(ends)
-        places = np.arange(len(flat)) - np.repeat(ends[:-1], size)
-        out = self._drawn(flat, mixed(np.repeat(np.array(keys, np.uint64), size) + places.astype(np.uint64)))
-        if sum(map(len, self.new.values())) >= self.cache:
-            self.old = self.new
-            self.new = defaultdict(dict, {0: {"": (self.own, 0)}})
-        return [list(chain.from_iterable([x[0] for x in out[a:b]])) for a, b in zip(ends, ends[1:])]
-
-    def _drawn(self, parts: list[str], keys: np.ndarray) -> list[Merged]:
-        """Each part's pieces under its own skips. All start without any; those with a skip among
-        the turns that came up are looked up again with the first such, until none is left."""
-        plain = self.new[0]
-        if self.dropout.variants:
-            keys = keys % np.uint64(self.dropout.variants)
-        # long parts seldom come twice, and have too many skips to look for one by one
-        long = [r for r, p in enumerate(parts) if len(p) > 32] if self.limit else []
-        direct = {r: self._merged(parts[r], skips(keys[r : r + 1], np.arange(3 * len(parts[r])), self.limit).tobytes()) for r in long}
-        if long:
-            parts = list(parts)
-            for r in long:
-                parts[r] = ""
-        lacking = {p for p in parts if p not in plain}
-        self._fill([(p, 0) for p in lacking if not self._known(p, 0)])
-        out = [plain[p] for p in parts]
-        for r, x in direct.items():
-            out[r] = x
-        if not self.limit:
-            return out
-        turns = np.fromiter((x[1] for x in out), np.int64, len(out))
-        turns[long] = 0
-        at = first_skip(keys, np.zeros(len(out), np.int64), turns, self.limit)
-        rows = np.flatnonzero(at >= 0)
-        at = at[rows]
-        sets = [1 << a for a in at.tolist()]
-        while len(rows):
-            places = rows.tolist()
-            wanted = list(zip([parts[r] for r in places], sets))
-            lacking = {k for k in wanted if k[0] not in self.new[k[1]]}
-            self._fill([k for k in lacking if not self._known(*k)])
-            found = [self.new[v][p] for p, v in wanted]
-            for r, x in zip(places, found):
-                out[r] = x
-            at = first_skip(keys[rows], at + 1, np.fromiter((x[1] for x in found), np.int64, len(found)), self.limit)
-            sets = [v | 1 << a for v, a in zip(sets, at.tolist()) if a >= 0]
-            rows, at = rows[at >= 0], at[at >= 0]
-        return out
-
-    def _known(self, part: str, skipped: int) -> bool:
-        """Whether the older generation knows a part; if so, the newer gets it."""
-        known = self.old[skipped].get(part) if skipped in self.old else None
-        if known is not None:
-            self.new[skipped][part] = known
-        return known is not None
-
-    def _fill(self, keys: list[tuple[str, int]]) -> None:
-        """Merge the parts; those of a like length together in numpy, odd ones by themselves."""
-        by_width: dict[int, list[tuple[str, int]]] = {}
-        ids = self.ids
-        for k in keys:
-            part = k[0]
-            n = len(part)
-            if n == 1 or n > 32 or k[1] >> 64 or part[1] == MARK or not all(c in ids for c in part):
-                self.new[k[1]][part] = self.merge(*k)
-            else:
-                by_width.setdefault(4 if n <= 4 else 8 if n <= 8 else 12 if n <= 12 else 20 if n <= 20 else 32, []).append(k)
-        for width, group in by_width.items():
-            for at in range(0, len(group), 20_000):
-                self._merge_many(group[at : at + 20_000], width)
-
-    def _merge_many(self, keys: list[tuple[str, int]], width: int) -> None:
-        """merge() for many parts at once: in each step every part takes up its best candidate."""
-        ids, n = self.ids, len(keys)
-        syms = np.full((n, width + 1), -1, np.int64)
-        for row, (part, _) in enumerate(keys):
-            syms[row, : len(part)] = [ids[c] for c in part]
-        skipped = np.array([v for _, v in keys], np.uint64)
-        turn = np.zeros(n, np.uint64)
-        right = np.tile(np.arange(1, width + 2), (n, 1))
+        places = np.arange(len(parts)) - np.repeat(ends[:-1], size)
+        flat, start = self.drawn(parts, mixed(np.repeat(np.array(keys, np.uint64), size) + places.astype(np.uint64)))
+        return flat, start[ends]
+
+    def drawn(self, parts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All parts' pieces, each part's under its own skips, and where each part's start."""
+        at = list(map(self.known.get, parts))
+        if None in at:
+            self._learn(list({p: 0 for p, n in zip(parts, at) if n is None}))
+            at = list(map(self.known.__getitem__, parts))
+        at = np.array(at, np.int64)
+        start, size, flat = (np.cumsum(self.n_flat) - self.n_flat)[at], self.n_flat[at], self.flat
+        if self.limit:
+            rows = np.flatnonzero(any_skip(keys, self.turns[at], self.limit))
+            few = self.n_chars[at[rows]] == 0
+            one_by_one = []
+            for r in rows[few].tolist():
+                one_by_one.append(self.merged(parts[r], skips(keys[r : r + 1], np.arange(3 * len(parts[r])), self.limit).tobytes())[0])
+            groups = [(rows[few], np.array([x for p in one_by_one for x in p], np.int32), np.array([len(p) for p in one_by_one], np.int64))]
+            rows = rows[~few]
+            for own in self._alike(self.n_chars[at[rows]]):
+                own = rows[own]
+                groups.append((own, *self._merge_many(at[own], keys[own])[:2]))
+            for own, pieces, n in groups:
+                start[own], size[own] = len(flat) + np.cumsum(n) - n, n
+                flat = np.concatenate([flat, pieces])
+        return flat[ranges(start, size)], np.concatenate([[0], np.cumsum(size)])
+
+    def _alike(self, lengths: np.ndarray, most: int = 30_000) -> Iterator[np.ndarray]:
+        """Places of like lengths, so many at once."""
+        order = np.argsort(lengths, kind="stable")
+        cuts = np.searchsorted(lengths[order], [0, 5, 9, 13, 21, WIDEST + 1])
+        for a, b in zip(cuts, cuts[1:]):
+            for x in range(a, b, most):
+                yield order[x : min(b, x + most)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Add parts to the known ones, with what they give without skips."""
+        ids, n = self.ids, len(self.known)
+        self.known.update(zip(parts, range(n, n + len(parts))))
+        chars = [list(map(ids.get, p)) if len(p) <= WIDEST else [None] for p in parts]
+        chars = [[] if None in c else c for c in chars]
+        self.n_chars = np.concatenate([self.n_chars, np.array([len(c) for c in chars], np.int64)])
+        self.chars = np.concatenate([self.chars, np.array([x for c in chars for x in c], np.int32)])
+        pieces, n_pieces, turns = {}, np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        for i, (p, c) in enumerate(zip(parts, chars)):
+            if not c:
+                found, turns[i] = self.merged(p, b"")
+                pieces[i], n_pieces[i] = np.array(found, np.int32), len(found)
+        own = np.flatnonzero(self.n_chars[n:])
+        groups = [(i, x) for i, x in pieces.items()]
+        for some in self._alike(self.n_chars[n:][own]):
+            some = own[some]
+            found, n_pieces[some], turns[some] = self._merge_many(some + n, None)
+            groups.append((some, found))
+        flat, start = np.zeros(int(n_pieces.sum()), np.int32), np.cumsum(n_pieces) - n_pieces
+        for some, found in groups:
+            flat[ranges(np.atleast_1d(start[some]), np.atleast_1d(n_pieces[some]))] = found
+        self.flat = np.concatenate([self.flat, flat])
+        self.n_flat, self.turns = np.concatenate([self.n_flat, n_pieces]), np.concatenate([self.turns, turns])
+
+    def _merge_many(self, parts: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """merged() for many known parts at once: their pieces, how many each has, and turns.
+
+        A column for each part. In each step every part takes up its best candidate; keys: draw skips."""
+        lengths = self.n_chars[parts]
+        n, width = len(parts), int(lengths.max())
+        syms = np.full((width + 1, n), -1, np.int32)
+        column = np.repeat(np.arange(n), lengths)
+        place = ranges(np.zeros(n, np.int64), lengths)
+        syms[place, column] = self.chars[ranges((np.cumsum(self.n_chars) - self.n_chars)[parts], lengths)]
+        # neighbours' places; width stands for none
+        right = np.repeat(np.arange(1, width + 2, dtype=np.int64)[:, None], n, 1)
         left = right - 2
-        agenda = self._lookup(syms[:, :-1], syms[:, 1:])
-        rows = np.arange(n)
-        while len(rows):
-            i = agenda[rows].argmin(1)
-            m = agenda[rows, i]
-            live = m != NEVER
-            rows, i, m = rows[live], i[live], m[live]
-            now = turn[rows]
-            turn[rows] += np.uint64(1)
-            drop = (skipped[rows] >> np.minimum(now, np.uint64(63)) & np.uint64(1) > 0) & (now < 64)
-            agenda[rows[drop], i[drop]] = NEVER
-            r, i, m = rows[~drop], i[~drop], m[~drop]
-            made = m & 0xFFFFF
-            j = right[r, i]
-            k = right[r, j]
-            h = left[r, i]
-            syms[r, i] = made
-            syms[r, j] = -2
-            right[r, i] = k
-            left[r, np.minimum(k, width)] = i
-            inner = j < width
-            agenda[r[inner], j[inner]] = NEVER
-            agenda[r, i] = self._lookup(made, syms[r, np.minimum(k, width)])
-            some = h >= 0
-            r, h, made = r[some], h[some], made[some]
-            agenda[r, h] = self._lookup(syms[r, h], made)
-        kept = syms >= 0
-        flat = syms[kept].tolist()
-        ends = np.cumsum(kept.sum(1)).tolist()
-        at = 0
-        for k, end, turns in zip(keys, ends, turn.tolist()):
-            self.new[k[1]][k[0]] = flat[at:end], turns
-            at = end
-
-    def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Order and id of what two pieces make, or NEVER."""
-        key = a << 20 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.values[at], NEVER)
+        left[0], right[width] = width, width
+        agenda = np.full((width + 1, n), NEVER)
+        agenda[:-1] = self.pairs.candidates(syms[:-1].ravel(), syms[1:].ravel(), np.repeat(np.arange(width), n)).reshape(width, n)
+        out, turns, whose, turn = np.full((width, n), -1, np.int32), np.zeros(n, np.int64), np.arange(n), 0
+        while True:
+            best = agenda.min(0)
+            r = np.flatnonzero(best != NEVER)
+            if len(r) < 0.75 * len(best) or not len(r):
+                done = np.flatnonzero(best == NEVER)
+                out[:, whose[done]] = syms[:-1, done]
+                if not len(r):
+                    break
+                syms, right, left, agenda = syms[:, r], right[:, r], left[:, r], agenda[:, r]
+                whose, best, r = whose[r], best[r], np.arange(len(r))
+            turns[whose[r]] = turn = turn + 1
+            m, w = best[r], len(whose)
+            i, made = m >> 24 & 0xFF, (m & 0xFFFFFF).astype(np.int32)
+            if keys is not None:
+                drop = skips(keys[whose[r]], np.full(len(r), turn - 1), self.limit)
+                agenda[i[drop], r[drop]] = NEVER
+                r, i, made = r[~drop], i[~drop], made[~drop]
+            s, near, far, best = syms.reshape(-1), right.reshape(-1), left.reshape(-1), agenda.reshape(-1)
+            here = i * w + r
+            j = near[here] * w + r
+            k, h = near[j], far[here]
+            s[here], s[j] = made, -2
+            near[here], far[k * w + r] = k, i
+            best[j] = NEVER
+            for a, b, x in ((made, s[k * w + r], i), (s[h * w + r], made, h)):
+                best[x * w + r] = self.pairs.candidates(a, b, x)
+        kept = out.T >= 0
+        return out.T[kept], kept.sum(1), turns
 
     def parts(self, marked: str) -> list[str]:
         """The text cut wherever no piece holds the two characters side by side."""
@@ -274,46 +306,35 @@ class Codec:
         at = [0, *cuts.tolist()]
         return [marked[a:b] for a, b in zip(at, [*at[1:], len(marked)])]
 
-    def merge(self, part: str, skipped: int) -> Merged:
-        """The pieces of a part and the count of its candidates, with the given turns (bits) skipped."""
-        return self._merged(part, bytes(skipped >> t & 1 for t in range(skipped.bit_length())))
-
-    def _merged(self, part: str, skipped: bytes) -> Merged:
-        """merge(), by its agenda: order, then place, of each candidate merge; skipped has a byte a turn."""
-        ids, made, turn = self.ids, self.made.get, 0
+    def merged(self, part: str, skipped: bytes) -> Merged:
+        """The pieces of a part and the count of its candidates, by its agenda (order, then place, of
+        each candidate); skipped has a byte a turn."""
+        ids, made, order, turn = self.ids, self.made.get, self.order, 0
         n = len(part)
         syms = [ids.get(c, -1) for c in part]  # -1: a character without a piece, -2: merged away
-        if n == 1:
-            return [syms[0]] if syms[0] >= 0 else [self.byte_ids[b] for b in part.encode()], 0
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
-        a = syms[0]
         for i in range(n - 1):
-            b = syms[i + 1]
-            if a >= 0 and b >= 0 and (m := made(a << 20 | b)) is not None:
-                agenda.append((m >> 20) << 32 | i)
-            a = b
+            if (m := made((syms[i], syms[i + 1]))) is not None:
+                agenda.append((order[m], i))
         heapq.heapify(agenda)
         pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            e = pop(agenda)
-            i = e & 0xFFFFFFFF
-            a = syms[i]
-            if a < 0 or (j := right[i]) >= n or (b := syms[j]) < 0 or (m := made(a << 20 | b)) is None or m >> 20 != e >> 32:
+            o, i = pop(agenda)
+            if (j := right[i]) >= n or (m := made((syms[i], syms[j]))) is None or order[m] != o:
                 continue  # no longer there
             turn += 1
             if turn <= len(skipped) and skipped[turn - 1]:
                 continue
-            c = syms[i] = m & 0xFFFFF
-            syms[j] = -2
+            syms[i], syms[j] = m, -2
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if (b := syms[k]) >= 0 and (m := made(c << 20 | b)) is not None:
-                    push(agenda, (m >> 20) << 32 | i)
+                if (x := made((m, syms[k]))) is not None:
+                    push(agenda, (order[x], i))
             h = left[i]
-            if h >= 0 and (a := syms[h]) >= 0 and (m := made(a << 20 | c)) is not None:
-                push(agenda, (m >> 20) << 32 | h)
+            if h >= 0 and (x := made((syms[h], m))) is not None:
+                push(agenda, (order[x], h))
         return self._spelled([p for p in syms if p != -2], part), turn
 
     def _spelled(self, syms: list[int], part: str) -> list[int]:
@@ -347,10 +368,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, dropout: Dropout = Dropout(
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids = codec.encode_many([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())], ["key", "ids", "decoded"]
-                )
+                flat, ends = codec.encode_many([t or "" for t in part.column(1).to_pylist()])
+                ids, ends = flat.tolist(), ends.astype(np.int32)
+                texts = [codec.decode(ids[a:b]) for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat), pa.array(texts, pa.string())], ["key", "ids", "decoded"])
 
     return docs.mapInArrow(run, f"key {kind}, ids array<int>, decoded string")
 
