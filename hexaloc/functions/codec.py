@@ -22,25 +22,36 @@ ROOT_DIR, PARENT_DIR = "root_dir", "parent_dir"
 UNSAFE = r"[\x00-\x1F\x7F:]|[^\x00-\x7F]"
 #: The same with the two characters that would not read back as themselves.
 UNSAFE_STRICT = r"[\x00-\x1F\x7F:%\\]|[^\x00-\x7F]"
+
+
+#: What is left as it is, all of it single UTF-16 units.
+SAFE, SAFE_STRICT = r"[\x20-\x7E&&[^:]]", r"[\x20-\x7E&&[^:%\\]]"
+
+
+def edges(safe: str) -> str:
+    """A pattern of the places between a run of safe characters and a run of others."""
+    return f"(?<={safe})(?!{safe})|(?<!{safe})(?={safe})"
+
+
 ESCAPED = "%[0-9A-Fa-f]{2}"
 
 
-def _encoded(c: Column, unsafe: str) -> Column:
+def _encoded(c: Column, unsafe: str, safe: str) -> Column:
     def one(x: Column) -> Column:
         return F.when(x.rlike(unsafe), F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1")).otherwise(x)
 
-    # clean values, the usual ones, are left as they are
-    return F.when(c.rlike(unsafe), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+    # clean values, the usual ones, are left as they are; others are cut into runs
+    return F.when(c.rlike(unsafe), F.array_join(F.transform(F.split(c, edges(safe)), one), "")).otherwise(c)
 
 
 def percent_encode(c: Column) -> Column:
     """Percent-encode controls, DEL, colons and non-ASCII bytes, upper-case hex."""
-    return _encoded(c, UNSAFE)
+    return _encoded(c, UNSAFE, SAFE)
 
 
 def percent_encode_strict(c: Column) -> Column:
     """Also encodes % and backslash, so that the next parse reads the value back unchanged."""
-    return _encoded(c, UNSAFE_STRICT)
+    return _encoded(c, UNSAFE_STRICT, SAFE_STRICT)
 
 
 def percent_decode(c: Column) -> Column:
@@ -106,19 +117,23 @@ def fmt_debug(record: Column) -> Column:
 
 
 def set_error(record: Column, i: int, encoded: Column) -> Column:
-    """null, or ``length`` if the encoded value or the record that it gives is too long."""
+    """null, or ``cardinality`` if the record has no part i, ``length`` if the encoded value or
+    the record that it gives is too long. Null for a null record or value."""
     new = F.octet_length(encoded)
     change = new - F.octet_length(F.get(parts(record), F.lit(i)))
     too_long = (new > MAX_VALUE_BYTES) | (change < -MAX_VALUE_BYTES - 1) | (change > MAX_VALUE_BYTES) | (F.octet_length(record) + change > MAX_BYTES)
-    return F.when(too_long, F.lit(LENGTH))
+    return F.when(encoded.isNotNull() & (F.size(parts(record)) <= i), F.lit(CARDINALITY)).when(too_long, F.lit(LENGTH))
 
 
 def placed(record: Column, i: int, encoded: Column) -> Column:
-    return F.array_join(F.transform(parts(record), lambda x, k: F.when(k == i, encoded).otherwise(x)), SEPARATOR)
+    """The record with part i replaced; null if the record or the value is."""
+    p = parts(record)
+    new = F.concat(F.slice(p, F.lit(1), F.lit(i)), F.array(encoded), F.slice(p, F.lit(i + 2), F.greatest(F.size(p), F.lit(0))))
+    return F.when(record.isNotNull() & encoded.isNotNull(), F.array_join(new, SEPARATOR))
 
 
 def try_fmt_set(record: Column, i: int, value: Column) -> Column:
-    """The record with part i replaced by the encoded value, or null."""
+    """The record with part i replaced by the encoded value, or null (for a null value, too)."""
     encoded = percent_encode(value)
     return F.when(set_error(record, i, encoded).isNull(), placed(record, i, encoded))
 

@@ -81,12 +81,25 @@ def id_new(scheme: Column, context: Column, path: Column) -> Column:
     return codec.or_raise(id_new_error(scheme, context, path), _joined(scheme, context, path))
 
 
+def shape_error(s: Column) -> Column:
+    """Null for what ``id_new``, a setter or a selector may hold: six parts, some of them empty,
+    behind either prefix or none; else backslash, length, cardinality or prefix."""
+    p = codec.parts(s)
+    error = F.when(has_backslash(s), F.lit(codec.BACKSLASH)).when(F.octet_length(s) > codec.MAX_BYTES, F.lit(codec.LENGTH))
+    error = error.when(F.size(p) != PARTS, F.lit(codec.CARDINALITY))
+    return error.when(~codec.percent_decode(F.get(p, F.lit(0))).isin(ID_PREFIX, SELECTOR_PREFIX, ""), F.lit(codec.PREFIX))
+
+
 def set_error(s: Column, name: str, value: Column) -> Column:
-    return F.when(has_backslash(value), F.lit(codec.BACKSLASH)).otherwise(codec.set_error(s, PLACE[name], codec.percent_encode(value)))
+    """Null, or the error of what is no identifier or selector, else that of the value."""
+    of_value = F.when(has_backslash(value), F.lit(codec.BACKSLASH)).otherwise(codec.set_error(s, PLACE[name], codec.percent_encode(value)))
+    return F.coalesce(shape_error(s), of_value)
 
 
 def try_id_set(s: Column, name: str, value: Column) -> Column:
-    """With one component replaced (by an empty one, too), or null."""
+    """With one component replaced (by an empty one, too), or null.
+
+    A null identifier or value gives null, here and in the strict form."""
     return F.when(set_error(s, name, value).isNull(), codec.placed(s, PLACE[name], codec.percent_encode(value)))
 
 
@@ -105,8 +118,9 @@ def id_canonicalize(s: Column) -> Column:
 
 
 def id_debug_json(s: Column) -> Column:
-    """The components, decoded, as JSON; absent ones are left out."""
-    return F.to_json(components(s))
+    """The components, decoded, as JSON; absent ones are left out. Null for what is
+    neither identifier nor selector."""
+    return F.when(s.isNotNull() & shape_error(s).isNull(), F.to_json(components(s)))
 
 
 def scheme_prefix(s: Column, scheme: str) -> Column:

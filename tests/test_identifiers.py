@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hexaloc.functions import codec, exact, ids, paths
+from hexaloc.functions import codec, exact, ids, paths, sql
 
 
 def values(spark, given, *columns):
@@ -35,6 +35,33 @@ def test_records(spark):
         codec.fmt_new(65)
 
 
+def test_nulls_and_what_is_no_identifier(spark):
+    """Defined results: null stays null everywhere; what is no identifier gives null, or its error."""
+    given = [None, "", "x", "abc:file::docs:x:", "zri:file::docs:x", "zri:file::docs:", "zri:file::docs:x:", "zri:file::docs:a%3Ab:", "zri:file::docs:x\\:"]
+    errors = [None, "cardinality", "cardinality", "prefix", "cardinality", "cardinality", None, None, "backslash"]
+    assert values(spark, given, paths.path_error) == errors
+    assert values(spark, given, paths.try_id_to_path) == [None] * 6 + ["docs/x", "docs/a:b", None]
+    assert values(spark, given, lambda s: ids.set_error(s, "path", F.lit("y"))) == errors
+    assert values(spark, given, lambda s: ids.try_id_set(s, "path", F.lit("y"))) == [None] * 6 + ["zri:file::docs:y:"] * 2 + [None]
+    assert values(spark, given, lambda s: ids.try_id_set(s, "path", F.lit(None).cast("string"))) == [None] * 9
+    assert [x is None for x in values(spark, given, ids.id_debug_json)] == [True] * 6 + [False] * 2 + [True]
+    null = F.lit(None).cast("string")
+    assert values(spark, ["a:b:c"], lambda s: codec.try_fmt_set(s, 1, null), lambda s: codec.fmt_set(s, 1, null), lambda s: codec.try_fmt_set(s, 3, F.lit("x"))) == [(None, None, None)]
+    assert values(spark, ["a:b:c", None], lambda s: codec.set_error(s, 9, F.lit("x"))) == ["cardinality", None]
+    sql.register(spark)
+    by_sql = [f"id_to_path(s)", "id_set_path(s, 'y')", "id_set_path(s, CAST(NULL AS STRING))", "id_error(s)"]
+    columns = [paths.try_id_to_path, lambda s: ids.try_id_set(s, "path", F.lit("y")), lambda s: null, ids.id_error]
+    for text, column in zip(by_sql, columns):
+        assert values(spark, given, lambda s, text=text: F.expr(text)) == values(spark, given, column)
+    assert values(spark, given, lambda s: F.expr("id_is_valid(s)")) == [x in (6, 7) for x in range(9)]
+    assert values(spark, given, lambda s: F.expr("id_parse(s).path")) == [None] * 6 + ["x", "a:b", None]
+    assert values(spark, ["zri:file::docs:x:"], lambda s: F.expr("id_set_path(s, 'é:😀 a\n\nb')")) == ["zri:file::docs:%C3%A9%3A%F0%9F%98%80 a%0A%0Ab:"]
+    for bad in ("x", "abc:file::docs:x:"):
+        for strict in (paths.id_to_path, lambda s: ids.id_set(s, "path", F.lit("y"))):
+            with pytest.raises(Exception, match="cardinality|prefix"):
+                values(spark, [bad], strict)
+
+
 def test_spans(spark):
     s = codec.span(F.lit(0), F.lit(2))
     got = values(
