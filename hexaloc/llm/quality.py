@@ -146,7 +146,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", rules: HostRules = HostRules(), host_limit: int = 10_000) -> DataFrame:
-    """The documents that pass, with their own columns.
+    """The documents that pass, with their own columns, whatever their names.
 
     Two passes over the texts instead of moving them: one for the hosts' figures, one that
     drops rows. Rejected hosts are broadcast if they were counted to be at most host_limit;
@@ -155,6 +155,7 @@ def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", host: st
     bad = host_verdicts(rows, rules).where("rejected").select(F.col("host").alias("__host"))
     few = bad.limit(host_limit + 1).count() <= host_limit
     # a generator, since a filter would be pushed below the measures and compute them twice
-    good = with_measures(docs, text).withColumn("__keep", F.explode(F.when(base_fault(rules), F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))))
-    good = good.select(*(good[c] for c in docs.columns))
-    return good.join(F.broadcast(bad) if few else bad, good[host].eqNullSafe(bad["__host"]), "left_anti")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__doc"), docs[text].alias("__text"), docs[host].alias("__of"))
+    good = with_measures(packed, "__text").withColumn("__keep", F.explode(F.when(base_fault(rules), F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))))
+    good = good.select("__doc", "__of")
+    return good.join(F.broadcast(bad) if few else bad, good["__of"].eqNullSafe(bad["__host"]), "left_anti").select("__doc.*")

@@ -32,7 +32,7 @@ def buckets_for(df: DataFrame, text: str, bucket_bytes: int = BUCKET_BYTES) -> i
 
 
 def external_shuffle(df: DataFrame, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """df's rows with __place: their places, 0 to n - 1, in a seeded random order."""
+    """df's rows as structs __row, and __place: their places, 0 to n - 1, in a seeded random order."""
     n = buckets_for(df, text, bucket_bytes)
     scattered = df.select(F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(n)).cast("int").alias("__bucket"), F.struct(*df.columns).alias("__row"))
     counts = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -42,13 +42,13 @@ def external_shuffle(df: DataFrame, text: str = "text", seed: int = 17, bucket_b
     shuffled = gathered.select("__bucket", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
     placed = shuffled.join(F.broadcast(offsets) if n <= BROADCAST_BUCKETS else offsets, F.col("__bucket") == F.col("__b"))
     rows = placed.select("__offset", F.posexplode("__rows").alias("__pos", "__row"))
-    return rows.select("__row.*", (F.col("__offset") + F.col("__pos")).alias("__place"))
+    return rows.select("__row", (F.col("__offset") + F.col("__pos")).alias("__place"))
 
 
 def shard(df: DataFrame, shards: int = 40, text: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df's rows with shard (int) and slot (long); columns of these names give way."""
     rows = external_shuffle(df.drop("shard", "slot"), text, seed, bucket_bytes)
-    return rows.withColumns({"shard": F.expr(f"cast(__place % {shards} AS int)"), "slot": F.expr(f"__place div {shards}")}).drop("__place")
+    return rows.select("__row.*", F.expr(f"cast(__place % {shards} AS int)").alias("shard"), F.expr(f"__place div {shards}").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 40, **options) -> None:

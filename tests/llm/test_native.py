@@ -120,3 +120,18 @@ def test_filter_by_ids(spark, limit):
     ids = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
     assert {r["v"] for r in filter_by_ids(rows, "k", ids, True, limit).collect()} == {1, 2, 6, 7}
     assert {r["v"] for r in filter_by_ids(rows, "k", ids, False, limit).collect()} == {0, 3, 4, 5, 8, 9}
+
+
+def test_columns_named_like_steps(spark):
+    """Columns of any name travel with their document through quality rules and shards."""
+    clash = ["__w", "__t", "__lines", "__h1", "__place", "__row", "__offset", "__doc", "__of", "__keep", "__bucket"]
+    good = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, good, "a"), (2, "too short", "a"), (3, None, None), (4, good, None), (5, good, "a")], "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.lit(c) for c in clash})
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.where("doc_id in (1, 4, 5)").collect()))
+    placed = sharding.shard(docs, shards=2)
+    assert placed.columns == [*docs.columns, "shard", "slot"]
+    rows = placed.collect()
+    assert sorted((r["doc_id"], r["__place"]) for r in rows) == [(n, "__place") for n in (1, 2, 3, 4, 5)]
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
