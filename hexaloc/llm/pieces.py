@@ -277,7 +277,8 @@ class Codec:
                 out[:, whose[done]] = syms[:-1, done]
                 if not len(r):
                     break
-                syms, right, left, agenda = syms[:, r], right[:, r], left[:, r], agenda[:, r]
+                # take keeps the rows contiguous, so that the flat views below are no copies
+                syms, right, left, agenda = (np.take(x, r, axis=1) for x in (syms, right, left, agenda))
                 whose, best, r = whose[r], best[r], np.arange(len(r))
             turns[whose[r]] = turn = turn + 1
             m, w = best[r], len(whose)

@@ -460,15 +460,22 @@ def test_pieces_without_dropout(vocabulary):
             assert codec.encode(t) == model.encode(t), t
 
 
+def each(drawn):
+    flat, start = drawn
+    return [flat[a:b].tolist() for a, b in zip(start, start[1:])]
+
+
 def test_pieces_with_dropout(vocabulary):
-    codec, other = pieces.Codec(vocabulary, pieces.Dropout(odds=0.3, variants=3), cache=50), pieces.Codec(vocabulary, pieces.Dropout(odds=0.3, variants=3))
+    codec, other = pieces.Codec(vocabulary, pieces.Dropout(odds=0.3), cache=50), pieces.Codec(vocabulary, pieces.Dropout(odds=0.3))
     seeds = [pieces.Codec(vocabulary, pieces.Dropout(odds=0.3, seed=s)).encode("internationalization of words") for s in range(6)]
     assert len({tuple(s) for s in seeds}) > 1
     texts = [*TEXTS, "internationalization " * 30]
-    assert codec.encode_many(texts) == [other.encode(t) for t in texts] and all(codec.decode(codec.encode(t)) == t for t in texts)
-    keys = [(p, v) for p in ("▁internationalization", "▁the", "▁queeauelle", "ab") for v in range(3)]
-    other._fill(keys)
-    assert all(other.new[v][p] == other.merge(p, v) for p, v in keys)
+    assert each(codec.encode_many(texts)) == [other.encode(t) for t in texts] and all(codec.decode(codec.encode(t)) == t for t in texts)
+    # parts of all lengths at once, with other steps left to go, as one by one
+    parts = ["▁internationalization", "▁the", "▁queeauelle", "ab", "▁", "x" * 40, "▁日", "é", "▁antidisestablishmentarianism"] * 200
+    keys = pieces.mixed(np.arange(len(parts), dtype=np.uint64))
+    drops = [pieces.skips(keys[i : i + 1], np.arange(120), other.limit).tobytes() for i in range(len(parts))]
+    assert each(other.drawn(parts, keys)) == [other.merged(p, d)[0] for p, d in zip(parts, drops)]
 
 
 def test_pieces_of_every_occurrence(vocabulary):
@@ -477,17 +484,17 @@ def test_pieces_of_every_occurrence(vocabulary):
     ids = codec.encode(text)
     assert codec.decode(ids) == text and ids == codec.encode(text) == pieces.Codec(vocabulary, pieces.Dropout(odds=0.1), cache=50).encode(text)
     shown = defaultdict(int)
-    for word in codec._drawn(["▁internationalization"] * n, pieces.mixed(np.arange(n, dtype=np.uint64))):
-        shown[tuple(word[0])] += 1
-    plain, turns = codec.merge("▁internationalization", 0)
+    for word in each(codec.drawn(["▁internationalization"] * n, pieces.mixed(np.arange(n, dtype=np.uint64)))):
+        shown[tuple(word)] += 1
+    plain, turns = codec.merged("▁internationalization", b"")
     # nothing is skipped in 0.9 ** turns of the occurrences; other skips may lead to the same pieces
     assert len(shown) > 20 and 0.9**turns - 0.04 < shown[tuple(plain)] / n < 0.6
-    assert len({tuple(x[0]) for x in codec._drawn(["▁the"] * n, pieces.mixed(np.arange(n, dtype=np.uint64)))}) > 2
+    assert len({tuple(x) for x in each(codec.drawn(["▁the"] * n, pieces.mixed(np.arange(n, dtype=np.uint64))))}) > 2
     # a skip drawn by brute force is the skip that is looked up
     keys = pieces.mixed(np.arange(300, dtype=np.uint64))
     for part in ("▁internationalization", "▁queeauelle", "x" * 40):
         drops = [pieces.skips(keys[i : i + 1], np.arange(120), codec.limit).tobytes() for i in range(300)]
-        assert codec._drawn([part] * 300, keys) == [codec._merged(part, d) for d in drops]
+        assert each(codec.drawn([part] * 300, keys)) == [codec.merged(part, d)[0] for d in drops]
 
 
 def test_pieces_query(spark, sf):
