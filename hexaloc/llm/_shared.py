@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +96,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 500, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in turn, so many at most, whose texts have so many bytes together or are one."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, "right"))
+        upto = min(max(upto, at + 1), at + rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
     return let(

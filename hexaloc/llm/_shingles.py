@@ -59,14 +59,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after[:-1] |= space[1:]
     before[0] = after[-1] = True
     starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(after & ~space) + 1
-    up, down = _powers(1 << max(20, n.bit_length()))
+    up, down = _powers(1 << max(18, n.bit_length()))
     total = np.zeros(n + 1, U)
     np.cumsum(LOWER[data] * up[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * STEPS[4])
     return hashes, np.searchsorted(starts, offsets)
 
 
-def sets_of(texts: pa.Array, width: int = 4, block: int = 1 << 20):
+def sets_of(texts: pa.Array, width: int = 4, block: int = 1 << 18):
     """For each text, the sorted distinct hashes of its shingles of so many words.
 
     A text with fewer words has its whole sequence as its one shingle, one without words none."""

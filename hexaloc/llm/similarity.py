@@ -4,7 +4,7 @@ A document's set is its distinct shingles; two documents link if their sets' Jac
 reaches the threshold. ``components`` gives each document the smallest id that links reach.
 
 1. Every text is shingled; documents with equal sets become one class (its smallest id).
-2. Every text signs (see ``_partenum``). Of the documents of a batch with one signature the
+2. Every text signs (see ``_partenum``). Of the documents of a batch (8 MB of texts) with one signature the
    first meets the other batches' in a shuffle; the others, and copies but one, don't cross it
    there, so that a signature that a third of all rows share crosses it once a batch.
    What meets or was put aside makes the buckets.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexaloc.llm._partenum import PartEnum
-from hexaloc.llm._shared import broadcast_if_few, filter_by_ids, materialize, release
+from hexaloc.llm._shared import broadcast_if_few, filter_by_ids, materialize, release, slices
 from hexaloc.llm._shingles import STEPS, U, mix, sets_of
 
 #: Documents whose shingles tell which are common, and sets that tell how rare elements are.
@@ -80,11 +80,12 @@ def _counts_of_sample(rows: DataFrame, parts: float, key: str, seed: int, elemen
 
 
 def _signed(width: int, method: PartEnum, common):
-    """Signatures of a batch's documents (at, id, sig, lead). The first document with a signature
-    goes to it (at); each other one to a place of its own, and tells signature and first document."""
+    """Signatures of documents (at, id, sig, lead). In 8 MB of texts the first document with a signature
+    goes to it (at); each other one to a place of its own, and tells signature and first document.
+    The rows leave in sixteenths of the signatures' range, which bounds what is held beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for all in batches for x in slices(all, 1, 4_000, 8 << 20)):
             seen, sigs, ids = set(), [], []
             for doc, elements in zip(b.column(0).to_pylist(), sets_of(b.column(1), width)):
                 key = _key(elements)
@@ -94,16 +95,23 @@ def _signed(width: int, method: PartEnum, common):
                     ids.append(doc)
             if not sigs:
                 continue
-            sig = np.concatenate(sigs).astype(np.int64)
-            doc = np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            first = np.ones(len(sig), bool)
-            first[1:] = sig[1:] != sig[:-1]
-            lead = doc[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-            at = np.where(first, sig, mix(sig.view(U) ^ mix(doc.view(U))).view(np.int64))
-            out = [pa.array(at), pa.array(doc), pa.array(sig, mask=first), pa.array(lead, mask=first)]
-            yield pa.RecordBatch.from_arrays(out, ["at", "id", "sig", "lead"])
+            every = np.concatenate(sigs)
+            whose = np.repeat(np.arange(len(ids), dtype=np.int32), [len(s) for s in sigs])
+            names, sixteenth = np.array(ids, np.int64), (every >> U(60)).astype(np.int8)
+            sigs.clear()
+            for n in range(16):
+                own = np.flatnonzero(sixteenth == n)
+                if not len(own):
+                    continue
+                sig, doc = every[own].view(np.int64), names[whose[own]]
+                order = np.lexsort((doc, sig))
+                sig, doc = sig[order], doc[order]
+                first = np.ones(len(sig), bool)
+                first[1:] = sig[1:] != sig[:-1]
+                lead = doc[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+                at = np.where(first, sig, mix(sig.view(U) ^ mix(doc.view(U))).view(np.int64))
+                out = [pa.array(at), pa.array(doc), pa.array(sig, mask=first), pa.array(lead, mask=first)]
+                yield pa.RecordBatch.from_arrays(out, ["at", "id", "sig", "lead"])
 
     return run
 
