@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hexaloc.llm._shared import slices
+
 MARK = "▁"
 #: Stands for no merge; above any order, place and id (in an agenda: order << 32 | place << 24 | id).
 NEVER = (1 << 63) - 1
@@ -139,7 +141,7 @@ class Pairs:
 
 
 class Codec:
-    def __init__(self, vocabulary: Vocabulary, dropout: Dropout, cache: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, dropout: Dropout, cache: int = 60_000):
         pieces, orders, first = vocabulary.pieces, vocabulary.orders, vocabulary.first
         self.ids = {p: i for i, p in enumerate(pieces) if i >= first}
         #: ids of a left and a right piece -> the piece that they make
@@ -367,8 +369,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, dropout: Dropout = Dropout(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, dropout)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in slices(b, 1):
                 flat, ends = codec.encode_many([t or "" for t in part.column(1).to_pylist()])
                 ids, ends = flat.tolist(), ends.astype(np.int32)
                 texts = [codec.decode(ids[a:b]) for a, b in zip(ends, ends[1:])]
