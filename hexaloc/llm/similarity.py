@@ -297,31 +297,46 @@ def _refined(sets: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
 
     Each set's elements are put in one order, rare ones first. Sets of sizes m and n that link
     share t elements or more, so the first m - t + 1 of one and n - t + 1 of the other share one;
-    that holds for any order. How rare an element is comes from a bounded sample of the sets. Of
+    that holds for any order. Of a fixed part of all elements, twice what is put first of a set,
+    all sets that hold one are counted; those of one set only come first and meet nothing, so
+    they are left out. How rare the others are comes from a bounded sample of the sets. Of
     the component that holds an element most often, no two members are put together."""
     own = sets.select("rep", "elements").join(broadcast_if_few(rest), "rep")
+    part, n_sets = min(1 << 16, (2 * (100 - percent) << 16) // 100), rest.count()
+    counted = own.select("rep", F.explode("elements").alias("token")).where(F.col("token").bitwiseAND(F.lit(0xFFFF)) < part)
+    several = counted.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    held = counted.join(several, "token").groupBy("rep").agg(F.collect_list(F.struct("token", "k")).alias("several"))
     shared = sets.sparkSession.sparkContext.broadcast(
-        _counts_of_sample(own.select("rep", "elements"), SAMPLE_SETS / max(1, rest.count()), "rep", 6, lambda column: (np.asarray(x.values).astype(U) for x in column), 2)
+        _counts_of_sample(own.select("rep", "elements"), SAMPLE_SETS / max(1, n_sets), "rep", 6, lambda column: (np.asarray(x.values).astype(U) for x in column), 2)
     )
+    scale = max(1, n_sets // SAMPLE_SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for rep, elements, component in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            for rep, elements, component, several in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3)):
                 e = np.asarray(elements.values)
-                count = np.zeros(len(e), np.int64)
+                # 0: of this set only, 1: unknown, else 1 + how many sets hold it
+                count = np.ones(len(e), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, e.view(U)), len(known) - 1)
-                    count = np.where(known[at] == e.view(U), often[at], 0)
+                    count += np.where(known[at] == e.view(U), often[at] * scale, 0)
+                count[(e & 0xFFFF) < part] = 0
+                if several.is_valid:
+                    token, k = (several.values.field(c).to_numpy() for c in ("token", "k"))
+                    by = np.argsort(e)
+                    count[by[np.searchsorted(e, token, sorter=by)]] = 1 + k
                 n = len(e)
                 first = n - -(-percent * n // 100) + 1
                 order = np.lexsort((e, count))[:first]
-                for c, x in zip(cols, (e[order], np.full(first, rep), np.full(first, component), np.full(first, n), np.arange(first))):
+                place = np.flatnonzero(count[order])
+                order, m = order[place], len(place)
+                for c, x in zip(cols, (e[order], np.full(m, rep), np.full(m, component), np.full(m, n), place)):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in cols], ["token", "rep", "component", "n", "place"])
 
-    tokens = own.select("rep", "elements", "component").mapInArrow(run, "token long, rep long, component long, n long, place long")
+    tokens = own.join(held, "rep", "left").select("rep", "elements", "component", "several").mapInArrow(run, "token long, rep long, component long, n long, place long")
     tokens = materialize(tokens, "jaccard-tokens")
     main = tokens.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
     main = main.agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1").drop("components")
