@@ -8,7 +8,8 @@ that it holds, an instance as good as its patterns together (noisy-or), for a fe
 fixed at 1. Instances of patterns with high confidence become spans of kind ``id``.
 
 The texts are read once a step; only narrow, distinct rows (pattern, instance) are moved. The
-patterns with enough seeds are broadcast, and spans are found in place.
+patterns with enough seeds are broadcast, and spans are found in place. What is broadcast is met
+by hashes over whole batches, so a step's work hardly depends on how much that is.
 
 Defined results: a null text is an empty one; equal spans of repeated rows stay with their
 rows; rows are told apart even if their keys are equal or null; other columns are not carried.
@@ -19,14 +20,18 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexaloc.llm._shared import materialize
+from hexaloc.llm._contexts import DIGIT, Members, instance_hashes, normal, pattern_hashes, slots
+from hexaloc.llm._shared import materialize, slices
 
 KINDS = ("email", "ip", "card", "phone", "id")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -35,10 +40,6 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-DIGIT = re.compile(r"[0-9]")
-#: What may fill the slot of a context: a run of such characters, without punctuation at its ends.
-RUN = re.compile(r"[\w@.%+/:-]+")
-ENDS = ".:/-@%+_"
 BEFORE = re.compile(r"\w+|[^\w\s]")
 
 
@@ -102,50 +103,67 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def tokens(text: str) -> Iterator[tuple[int, int]]:
-    """All tokens that may fill a slot."""
-    for m in RUN.finditer(text):
-        run = m[0]
-        left = len(run) - len(run.lstrip(ENDS))
-        if left < len(run):
-            yield m.start() + left, m.start() + len(run.rstrip(ENDS))
-
-
-def contexts(text: str, spans: list[tuple[int, int, int]], seeds_only: bool = False) -> Iterator[tuple[int, int, bool, str]]:
-    """(start, end, is a seed, pattern) of the seeds and of the tokens that touch none, by place."""
-    if seeds_only and not spans:
+def seed_contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pattern) of the seeds, by place."""
+    if not spans:
         return
-    places = [(s, e, True) for s, _, e in spans]
-    if not seeds_only:
-        edges, n = sorted((s, e) for s, _, e in spans), 0
-        for s, e in tokens(text):
-            while n < len(edges) and edges[n][1] <= s:
-                n += 1
-            if n == len(edges) or edges[n][0] >= e:
-                places.append((s, e, False))
-        places.sort()
     found = [(m.start(), m.end()) for m in BEFORE.finditer(text)]
-    words = [DIGIT.sub("0", text[s:e].lower()) for s, e in found]
     starts, ends = [s for s, _ in found], [e for _, e in found]
-    for s, e, seed in places:
+    for s, _, e in spans:
         i, j = bisect_right(ends, s), bisect_left(starts, e)
-        yield s, e, seed, " ".join(words[max(0, i - 2) : i]) + " _ " + (words[j] if j < len(words) else "")
+        near = [normal(text[a:b]) for a, b in (*found[max(0, i - 2) : i], *found[j : j + 1])]
+        yield s, e, " ".join(near[: min(i, 2)]) + " _ " + (near[-1] if j < len(found) else "")
+
+
+@dataclass(frozen=True)
+class Sought:
+    """Patterns and instances to look for, with their hashes."""
+
+    patterns: frozenset[str]
+    instances: frozenset[str]
+    hashes: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, patterns: Collection[str], instances: Collection[str] = ()) -> Sought:
+        return cls(frozenset(patterns), frozenset(instances), (pattern_hashes(patterns), instance_hashes(instances)))
+
+    def read(self, b: pa.RecordBatch, column: int) -> Iterator[tuple[list, list, list]]:
+        """The batch's texts, some at a time: each with its base spans, and with (start, end, pattern)
+        of the tokens that fill a pattern's slot or are an instance and touch no base span."""
+        members = [Members(h) for h in self.hashes]
+        for part in slices(b, column, 2000, 1 << 18):
+            texts = [t or "" for t in part.column(column).to_pylist()]
+            bases = [base_spans(t) for t in texts]
+            tokens: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+            if self.patterns or self.instances:
+                for r, s, e, p in slots(texts, *members):
+                    if p in self.patterns or texts[r][s:e] in self.instances:
+                        tokens[r].append((s, e, p))
+            yield texts, bases, [_clear(b, t) if b and t else t for b, t in zip(bases, tokens)]
+
+
+def _clear(base: list[tuple[int, int, int]], found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The tokens that touch no base span."""
+    starts, reach = [s for s, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]
+    return [x for x in found if reach[bisect_left(starts, x[1])] <= x[0]]
 
 
 def occurrences(docs: DataFrame, text: str, patterns: list[str] | None, instances: list[str] = []) -> DataFrame:
     """pattern, instance, seed: distinct, of every token in one of the patterns or that is one of
     the instances; patterns of None: of the seeds."""
-    wanted = docs.sparkSession.sparkContext.broadcast((None if patterns is None else frozenset(patterns), frozenset(instances)))
+    seeds_only = patterns is None
+    wanted = docs.sparkSession.sparkContext.broadcast(Sought.of(patterns or [], instances))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = wanted.value
+        sought = wanted.value
         for b in batches:
             out = set()
-            for t in b.column(0):
-                text = t.as_py() or ""
-                for s, e, seed, p in contexts(text, base_spans(text), own is None):
-                    if own is None or p in own or known and text[s:e] in known:
-                        out.add((p, text[s:e], seed))
+            for texts, bases, tokens in sought.read(b, 0):
+                for text, base, own in zip(texts, bases, tokens):
+                    out.update((p, text[s:e], False) for s, e, p in own)
+                    for s, e, p in seed_contexts(text, base):
+                        if seeds_only or p in sought.patterns or text[s:e] in sought.instances:
+                            out.add((p, text[s:e], True))
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_())], ["pattern", "instance", "seed"])
 
@@ -197,17 +215,12 @@ def rescored(graph: DataFrame, scored: DataFrame, how: Bootstrap) -> DataFrame:
     return materialize(graph.join(instances, "instance").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("new")).alias("score")), "pii-graph")
 
 
-def learned_spans(text: str, base: list[tuple[int, int, int]], trusted: frozenset[str]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the tokens in trusted contexts that touch no base span."""
-    return [(s, 4, e) for s, e, seed, p in contexts(text, base) if not seed and p in trusted] if trusted else []
-
-
 FOUND = "array<struct<start:int,kind:int,end:int>>"
 
 
 def spans(docs: DataFrame, how: Bootstrap = Bootstrap(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (start, kind, end of all): a row per document."""
-    trusted = docs.sparkSession.sparkContext.broadcast(frozenset(confident_patterns(docs, how, text)))
+    trusted = docs.sparkSession.sparkContext.broadcast(Sought.of(confident_patterns(docs, how, text)))
     docs = docs.select(key, text)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -216,15 +229,14 @@ def spans(docs: DataFrame, how: Bootstrap = Bootstrap(), key: str = "doc_id", te
         for b in batches:
             counts: list[list[int]] = [[], [], [], []]
             digest, every, found = [], [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                base = base_spans(text)
-                for k in range(4):
-                    counts[k].append(sum(x[1] == k for x in base))
-                digest.append(hashlib.sha256(written(base).encode()).hexdigest())
-                own = sorted(base + learned_spans(text, base, trusted.value))
-                every.append(written(own))
-                found.append([dict(zip(("start", "kind", "end"), x)) for x in own])
+            for _, bases, tokens in trusted.value.read(b, 1):
+                for base, learned in zip(bases, tokens):
+                    for k in range(4):
+                        counts[k].append(sum(x[1] == k for x in base))
+                    digest.append(hashlib.sha256(written(base).encode()).hexdigest())
+                    own = sorted(base + [(s, 4, e) for s, e, _ in learned])
+                    every.append(written(own))
+                    found.append([dict(zip(("start", "kind", "end"), x)) for x in own])
             cols = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(every, pa.string()), pa.array(found, pa.list_(place))]
             yield pa.RecordBatch.from_arrays(cols, ["key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
 
@@ -245,19 +257,19 @@ def masked(docs: DataFrame, how: Bootstrap = Bootstrap(), key: str = "doc_id", t
     """docs with personal data masked in their texts; the length column follows, if there is one.
 
     All spans are found again in place, so keys, null or repeated ones too, don't matter."""
-    trusted = docs.sparkSession.sparkContext.broadcast(frozenset(confident_patterns(docs, how, text)))
+    trusted = docs.sparkSession.sparkContext.broadcast(Sought.of(confident_patterns(docs, how, text)))
     at, size = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, lengths = [], []
-            for t in b.column(at).to_pylist():
-                found = base_spans(t or "")
-                found += learned_spans(t or "", found, trusted.value)
-                texts.append(mask(t, found) if found else t)
-                lengths.append(len(texts[-1] or "") if found else None)
+            masks, lengths = [], []
+            for texts, bases, tokens in trusted.value.read(b, at):
+                for t, base, learned in zip(texts, bases, tokens):
+                    found = base + [(s, 4, e) for s, e, _ in learned]
+                    masks.append(mask(t, found) if found else None)
+                    lengths.append(len(masks[-1]) if found else None)
             cols = list(b.columns)
-            cols[at] = pa.array(texts, b.column(at).type)
+            cols[at] = pc.coalesce(pa.array(masks, b.column(at).type), b.column(at))
             if size is not None:
                 old = cols[size].to_pylist()
                 cols[size] = pa.array([o if n is None else n for o, n in zip(old, lengths)], cols[size].type)

@@ -1,8 +1,10 @@
 """Language, pages, mixing, personal data, media, near copies and pieces: brute force and edge cases."""
 
+import bisect
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from hashlib import sha256
@@ -257,6 +259,49 @@ def test_masking_of_null_and_repeated_keys(spark):
     assert sorted(got) == ["Oh. Please write to contact mailbox [id] today", "Please write to contact mailbox [id] today", "contact mailbox [id] today"]
 
 
+def plain_contexts(t):
+    """(start, end, pattern) of the tokens that touch no base span, word by word."""
+    base, words = plain_spans(t), [(m.start(), m.end()) for m in re.finditer(r"\w+|[^\w\s]", t)]
+    form = lambda s, e: re.sub("[0-9]", "0", t[s:e].lower())
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    for m in re.finditer(r"[\w@.%+/:-]+", t):
+        s, e = m.end() - len(m[0].lstrip(".:/-@%+_")), m.start() + len(m[0].rstrip(".:/-@%+_"))
+        if s < e and all(b <= s or a >= e for a, _, b in base):
+            i, j = bisect.bisect_right(ends, s), bisect.bisect_left(starts, e)
+            yield s, e, " ".join(form(*w) for w in words[max(0, i - 2) : i]) + " _ " + "".join(form(*w) for w in words[j : j + 1])
+
+
+def read(texts, patterns, instances):
+    column = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    return [tokens for part in pii.Sought.of(patterns, instances).read(column, 0) for tokens in part[2]]
+
+
+def test_tokens_in_contexts_by_hash():
+    r = random.Random(4)
+    bits = ["a", "B", "Σ", "ς", "σ", "İ", "i", "\u0307", "_", "__", ".", ":", "-", "@", "@x.y", " ", "  ", "\n", "9", "12", "é", "É", "ẞ", "漢", "😀", "K", "\x1c", "a@b.co", "1.2.3.4", "%", "user"]
+    texts = [None, ""] + ["".join(r.choice(bits) for _ in range(r.randint(0, 20))) for _ in range(20_000)]
+    plain = [list(plain_contexts(t or "")) for t in texts]
+    patterns = {p for x in plain for _, _, p in x if r.random() < 0.1}
+    instances = {t[s:e] for t, x in zip(texts, plain) for s, e, _ in x if r.random() < 0.02}
+    for own, known in ((patterns, instances), (patterns, ()), ((), instances), ((), ())):
+        assert read(texts, own, known) == [[x for x in found if x[2] in own or (t or "")[x[0] : x[1]] in known] for t, found in zip(texts, plain)]
+
+
+def test_search_for_contexts_is_cheap():
+    r = random.Random(5)
+    names = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 8))) for _ in range(3_000)]
+    texts = [" ".join(r.choice(names) for _ in range(500)) + "." for _ in range(200)]
+    patterns = {p for t in texts[:5] for _, _, p in plain_contexts(t)}
+
+    def seconds(run):
+        run()
+        at = time.process_time()
+        run()
+        return time.process_time() - at
+
+    assert 2 * seconds(lambda: read(texts, patterns, ())) < seconds(lambda: [list(plain_contexts(t)) for t in texts])
+
+
 def test_pii_query(spark, sf):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op6_pii(spark, sf).collect():
