@@ -327,6 +327,56 @@ def test_progressive():
         assert _progressive.encode([image]) == [own] and own[:2] == b"\xff\xd8" and own[-2:] == b"\xff\xd9"
 
 
+def test_progressive_coefficients_of_all_sizes():
+    r = np.random.default_rng(3)
+    x = np.where(r.random((5 * 3 * 6, 64)) < 0.3, r.integers(-2047, 2048, (5 * 3 * 6, 64)) >> r.integers(0, 11, (5 * 3 * 6, 64)), 0)
+    x[:, 0] = r.integers(-500, 500, len(x))
+    assert (_progressive.decode(_progressive.encode([(5, 3, x, b"")]))[0][2] == x).all()
+    with pytest.raises(ValueError):
+        _progressive.encode([(5, 3, np.where(x == x.max(), 2048, x), b"")])
+
+
+def test_first_scans_with_ends_of_many_blocks():
+    """Symbols that this coder doesn't write: ends of several blocks."""
+    r, parts, want = random.Random(6), [], np.zeros((3 * 40, 64), int)
+    for lane in range(3):
+        bits, block, put = "", 0, lambda s: f"{_progressive.AC_CODES[s]:0{_progressive.AC_SIZES[s]}b}"
+        while block < 40:
+            k = 1
+            while r.random() < 0.8 and k < 20:
+                run, size = r.randint(0, 3), r.randint(1, 10)
+                value = r.randrange(1 << size - 1, 1 << size)
+                bits += put(run << 4 | size) + f"{value:0{size}b}"
+                want[lane * 40 + block, k + run] = value << 1
+                k += run + 1
+            n = r.randint(1, min(9, 40 - block))
+            e = n.bit_length() - 1
+            bits += put(e << 4) + (f"{n - (1 << e):0{e}b}" if e else "")
+            block += n
+        bits += "1" * (-len(bits) % 8)
+        parts.append(int(bits, 2).to_bytes(len(bits) // 8, "big"))
+    got = np.zeros(3 * 40 * 64, np.int32)
+    _progressive._read_first(_progressive._Lanes(parts), got, np.arange(120), np.array([0, 40, 80]), np.array([40, 80, 120]), 1, 63, 1, _progressive.AC_TABLE)
+    assert (got.reshape(-1, 64) == want).all()
+
+
+def test_media_cost():
+    """Seconds to write and read a text's image, against those of zlib on the same bytes."""
+    r = random.Random(7)
+    names = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9))) for _ in range(3_000)]
+    text = " ".join(r.choice(names) for _ in range(160_000)).encode()[:800_000]
+
+    def seconds(run):
+        each = []
+        for _ in range(4):
+            at = time.process_time()
+            run()
+            each.append(time.process_time() - at)
+        return min(each)
+
+    assert seconds(lambda: _progressive.decode(_progressive.encode([media.image_of(text)]))) < 7 * seconds(lambda: zlib.compress(text, 9))
+
+
 def test_inverse_transform():
     r = np.random.default_rng(2)
     c = r.integers(-60, 60, (20, 64))
