@@ -19,39 +19,31 @@ BACKSLASH, LENGTH, CARDINALITY, PREFIX = "backslash", "length", "cardinality", "
 ROOT_DIR, PARENT_DIR = "root_dir", "parent_dir"
 
 #: What is percent-encoded: controls, DEL, the separator, and every byte beyond ASCII.
-UNSAFE = r"[\x00-\x1F\x7F:]|[^\x00-\x7F]"
+UNSAFE = r"[^\x20-9;-\x7E]"
 #: The same with the two characters that would not read back as themselves.
-UNSAFE_STRICT = r"[\x00-\x1F\x7F:%\\]|[^\x00-\x7F]"
-
-
-#: What is left as it is, all of it single UTF-16 units.
-SAFE, SAFE_STRICT = r"[\x20-\x7E&&[^:]]", r"[\x20-\x7E&&[^:%\\]]"
-
-
-def edges(safe: str) -> str:
-    """A pattern of the places between a run of safe characters and a run of others."""
-    return f"(?<={safe})(?!{safe})|(?<!{safe})(?={safe})"
+UNSAFE_STRICT = r"[^\x20-$&-9;-\[\]-\x7E]"
 
+#: The escapes of these, among those that url_encode writes.
+KEPT, KEPT_STRICT = "%(?=[018-9A-F]|3A|7F)", "%(?=[018-9A-F]|3A|7F|25|5C)"
 
 ESCAPED = "%[0-9A-Fa-f]{2}"
 
 
-def _encoded(c: Column, unsafe: str, safe: str) -> Column:
-    def one(x: Column) -> Column:
-        return F.when(x.rlike(unsafe), F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1")).otherwise(x)
-
-    # clean values, the usual ones, are left as they are; others are cut into runs
-    return F.when(c.rlike(unsafe), F.array_join(F.transform(F.split(c, edges(safe)), one), "")).otherwise(c)
+def _encoded(c: Column, unsafe: str, kept: str) -> Column:
+    # url_encode escapes more than is wanted; the escapes that stay are escaped once more, then all are decoded once
+    whole = F.url_decode(F.regexp_replace(F.url_encode(c), kept, "%25"))
+    # clean values, the usual ones, are left as they are
+    return F.when(c.rlike(unsafe), whole).otherwise(c)
 
 
 def percent_encode(c: Column) -> Column:
     """Percent-encode controls, DEL, colons and non-ASCII bytes, upper-case hex."""
-    return _encoded(c, UNSAFE, SAFE)
+    return _encoded(c, UNSAFE, KEPT)
 
 
 def percent_encode_strict(c: Column) -> Column:
     """Also encodes % and backslash, so that the next parse reads the value back unchanged."""
-    return _encoded(c, UNSAFE_STRICT, SAFE_STRICT)
+    return _encoded(c, UNSAFE_STRICT, KEPT_STRICT)
 
 
 def percent_decode(c: Column) -> Column:

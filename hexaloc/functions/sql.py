@@ -7,12 +7,10 @@ from pyspark.sql import SparkSession
 from hexaloc.functions import codec, ids
 
 UNSAFE = codec.UNSAFE.replace("\\", "\\\\")
-EDGES = codec.edges(codec.SAFE).replace("\\", "\\\\")
 
 
 def _encode(x: str) -> str:
-    each = f"CASE WHEN c RLIKE '{UNSAFE}' THEN regexp_replace(hex(encode(c, 'UTF-8')), '(..)', '%$1') ELSE c END"
-    return f"CASE WHEN {x} RLIKE '{UNSAFE}' THEN array_join(transform(split({x}, '{EDGES}'), c -> {each}), '') ELSE {x} END"
+    return f"CASE WHEN {x} RLIKE '{UNSAFE}' THEN url_decode(regexp_replace(url_encode({x}), '{codec.KEPT}', '%25')) ELSE {x} END"
 
 
 def _decode(x: str) -> str:

@@ -1,5 +1,7 @@
 """Codec, records, identifiers, paths and exact mode on stated vectors."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +23,36 @@ def test_codec(spark):
     assert values(spark, given, lambda s: codec.percent_decode(codec.percent_encode_strict(s))) == given
 
 
+def test_codec_alphabet(spark):
+    """Every ASCII character and some of each further length, alone and in runs."""
+    signs = [chr(i) for i in (*range(128), 0x80, 0xFF, 0x7FF, 0x800, 0x20AC, 0xFFFD, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF)]
+    given = [*signs, "".join(signs), "".join(signs[::-1]) * 2, "%3A%zz%", "%25é%", "+ +:%2B", "%%0A\n"]
+    each = lambda more: ["".join(c if " " <= c <= "~" and c not in ":" + more else "".join(f"%{b:02X}" for b in c.encode()) for c in s) for s in given]
+    sql.register(spark)
+    assert values(spark, given, codec.percent_encode) == values(spark, given, lambda s: F.expr("id_encode(s)")) == each("")
+    assert values(spark, given, codec.percent_encode_strict) == each("%\\")
+    assert values(spark, [None], codec.percent_encode, codec.percent_encode_strict) == [(None, None)]
+
+
+def test_codec_cost(spark):
+    """Seconds to encode texts of short runs, and to set them as a part, against those of one url_encode."""
+    texts = spark.range(0, 64, 1, 4).select(F.repeat(F.concat(F.lit("as most words are, plain (a-z); été: 1\n"), F.col("id").cast("string")), F.lit(8_000)).alias("s"))
+    s = F.col("s")
+
+    def seconds(*columns):
+        each = []
+        for _ in range(4):
+            at = time.perf_counter()
+            texts.select(*(F.octet_length(c) for c in columns)).write.format("noop").mode("overwrite").save()
+            each.append(time.perf_counter() - at)
+        return min(each)
+
+    base = seconds(F.url_encode(s))
+    assert seconds(codec.percent_encode(s)) < 8 * base
+    error = codec.set_error(F.lit("a:b"), 1, codec.percent_encode(s))
+    assert seconds(error, codec.try_fmt_set(F.lit("a:b"), 1, s)) < 8 * base
+
+
 def test_records(spark):
     abc = codec.fmt_set(codec.fmt_set(codec.fmt_set(codec.fmt_new(3), 0, F.lit("a")), 1, F.lit("b")), 2, F.lit("c"))
     assert values(spark, ["x"], lambda s: abc, lambda s: codec.fmt_get(abc, 0)) == [("a:b:c", "a")]
